@@ -18,8 +18,9 @@ BOILERPLATE = (
     "subscribe to our newsletter", "click here", "sign in to continue", "log in to continue", "share on facebook", "follow us on", "read more",
     "skip to content", "back to top", "lorem ipsum",
 )
-#: Line starters and separators of navigation bars.
-NAVIGATION = re.compile(r"(?:\s[|>»›•·/]\s.*){2,}")
+#: Signs that stand alone between the entries of navigation bars; a line fails that has two of
+#: them or more, and one for every five words.
+SEPARATOR = re.compile(r"(?<=\s)[|>»›•·/](?=\s)")
 MAX_BOILERPLATE_WORDS = 30
 MAX_SYMBOL_SHARE = 0.10
 MIN_LETTER_SHARE = 0.5
@@ -36,7 +37,8 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 def line_fails(line: str) -> bool:
     """The rules that need the line's text: navigation bars and boilerplate phrases in short lines."""
-    if NAVIGATION.search(line) and line.count(" ") < 4 * MAX_BOILERPLATE_WORDS and not line.rstrip().endswith((".", "!", "?")):
+    signs = len(SEPARATOR.findall(line))
+    if signs >= 2 and 5 * signs >= line.count(" ") + 1:
         return True
     if line.count(" ") < MAX_BOILERPLATE_WORDS:
         low = line.lower()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cubewright.llm.bpe import bpe_decode, bpe_encode
 from cubewright.llm.common import table
 from cubewright.llm.line_dedup import dedup_lines
 from cubewright.llm.quality import quality_rules
@@ -34,6 +36,13 @@ GROUP BY k.doc_id
 """
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, keep_cols=["doc_id"])
+    coded = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    return bpe_decode(coded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep_cols=["doc_id"], with_text=False)
 
