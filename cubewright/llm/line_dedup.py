@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cubewright.llm.common import staged
+
 #: Stripped from both ends of a line's key.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,6 +48,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .where(F.col("_n") >= min_docs)
         .select("a", "b", "_last")
     )
+    # A table of its own, so that joining it can split the rows of a frequent line.
+    shared = staged(shared, "shared-lines")
     drop = (
         held.join(shared, ["a", "b"])
         .where(F.col("_id").isNull() | (F.col("_id") != F.col("_last")))
