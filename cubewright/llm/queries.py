@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cubewright.llm.bpe import bpe_decode, bpe_encode
 from cubewright.llm.common import table
 from cubewright.llm.line_dedup import dedup_lines
+from cubewright.llm.ngram_join import ngram_jaccard_components
 from cubewright.llm.packing import pack_documents
 from cubewright.llm.quality import quality_rules
 
@@ -16,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, threshold_pct=85)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
