@@ -10,6 +10,7 @@ from cubewright.llm.common import table
 from cubewright.llm.line_dedup import dedup_lines
 from cubewright.llm.ngram_join import ngram_jaccard_components
 from cubewright.llm.packing import pack_documents
+from cubewright.llm.pii import BASE, KINDS, find_pii
 from cubewright.llm.quality import quality_rules
 
 
@@ -46,6 +47,20 @@ GROUP BY k.doc_id
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, keep_cols=["doc_id"])
