@@ -19,7 +19,14 @@ CACHE_CHARS, CACHE_UNITS = 48, 400_000
 #: Text is cut, for remembering, at single spaces between two characters that aren't white space.
 #: The pattern's matches never reach over such a space but start with it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_GAP = re.compile(r"\s\s")
+
+
+def _edgy(unit: str) -> bool:
+    return not unit or unit[0].isspace() or unit[-1].isspace()
+
+
+def _plain(text: str) -> list[str]:
+    return text.split(" ")
 
 
 class RankQueue:
@@ -34,6 +41,14 @@ class RankQueue:
     def __init__(self) -> None:
         self.upper, self.lower, self.buckets = 0, {}, {}
 
+    def load(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Fills an empty queue from positions that are sorted by rank."""
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        for rank, part in zip(ranks[cuts].tolist(), np.split(positions, cuts[1:]), strict=True):
+            self.buckets[rank] = part.tolist()
+            self.lower[rank >> 8] = self.lower.get(rank >> 8, 0) | 1 << (rank & 255)
+            self.upper |= 1 << (rank >> 8)
+
     def put(self, ranks: list[int], positions: list[int]) -> None:
         buckets, lower = self.buckets, self.lower
         for rank, position in zip(ranks, positions, strict=True):
@@ -117,7 +132,8 @@ class Bpe:
         queue = RankQueue()
         waiting = np.flatnonzero(rank_at >= 0)
         waiting = waiting[np.argsort(rank_at[waiting], kind="stable")]
-        queue.put(rank_at[waiting].tolist(), waiting.tolist())
+        if len(waiting):
+            queue.load(rank_at[waiting], waiting)
         while (least := queue.take()) is not None:
             rank, bucket = least
             pos = np.array(sorted(set(bucket)) if len(bucket) > 1 else bucket)
@@ -169,37 +185,55 @@ class Bpe:
         left, right = np.divmod(self.pair_keys, self.stop + 1)
         return frozenset(np.concatenate((left[self.pair_ranks < left], right[self.pair_ranks < right])).tolist())
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        return text.split(" ") if _GAP.search(text) is None and text[:1] != " " and text[-1:] != " " else _CUT.split(text)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        first, rest, units = self.first, self.rest, self.units
+        first, rest = self.first, self.rest
         heads, others = set(), set()
         for t in texts:
-            head, *more = units(t)
-            heads.add(head)
-            others.update(more)
-        heads = [u for u in heads if u not in first]
-        others = [u for u in others if u not in rest]
-        splits = [self.find(u) for u in heads] + [self.find(" " + u) for u in others]
+            units = t.split(" ")
+            heads.add(units[0])
+            del units[0]
+            others.update(units)
+        others.difference_update(rest)
+        heads.difference_update(first)
+        # A unit that is empty, or begins or ends with white space, shows a text that plain splitting
+        # would cut where the pattern doesn't. Such units are never remembered, so none goes unseen.
+        odd = any(_edgy(u) for u in heads) or any(_edgy(u) for u in others)
+        split = self._careful if odd else _plain
+        if odd:
+            heads, others = set(), set()
+            for t in texts:
+                units = split(t)
+                heads.add(units[0])
+                others.update(units[1:])
+            others.difference_update(rest)
+            heads.difference_update(first)
+        heads, others = list(heads), list(others)
+        find = self.find
+        splits = [find(u) for u in heads] + [find(" " + u) for u in others]
         pieces = list({p for s in splits for p in s})
         got = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True)).__getitem__
-        coded = [b"".join(map(got, s)) for s in splits]
+        coded = [got(s[0]) if len(s) == 1 else b"".join(map(got, s)) for s in splits]
         first.update(zip(heads, coded[: len(heads)], strict=True))
         rest.update(zip(others, coded[len(heads) :], strict=True))
         out = []
         for t in texts:
-            head, *more = units(t)
-            out.append(first[head] + b"".join(map(rest.__getitem__, more)))
+            units = split(t)
+            head = first[units[0]]
+            del units[0]
+            out.append(head + b"".join(map(rest.__getitem__, units)))
         for cache, fresh, most in ((first, heads, CACHE_UNITS // 8), (rest, others, CACHE_UNITS)):
             room = len(fresh) - (len(cache) - most)
             for i, u in enumerate(fresh):
-                if i >= room or len(u) > CACHE_CHARS:
+                if i >= room or len(u) > CACHE_CHARS or (odd and _edgy(u)):
                     del cache[u]
         return out
 
+    @staticmethod
+    def _careful(text: str) -> list[str]:
+        units = text.split(" ")
+        return _CUT.split(text) if any(map(_edgy, units)) else units
+
     def decode(self, ids: np.ndarray) -> bytes:
         if not len(ids):
             return b""
@@ -226,7 +260,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", i
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
-        for b in batches_of(it, 10_000):
+        for b in batches_of(it, 2000):
             parts = coder.encode([t or "" for t in b.column(len(keep)).to_pylist()])
             off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))
