@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cubewright.llm.bpe import bpe_decode, bpe_encode
 from cubewright.llm.common import table
+from cubewright.llm.html_text import extract_main_text
 from cubewright.llm.line_dedup import dedup_lines
 from cubewright.llm.ngram_join import ngram_jaccard_components
 from cubewright.llm.packing import pack_documents
@@ -22,6 +23,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, threshold_pct=85)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = extract_main_text(table(spark, sf_dir, "pages"), keep_cols=["page_id", "url"])
+    return df.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
