@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cubewright.llm.common import Words, batches_of, connected_components, groups, mix, staged
+from cubewright.llm.common import Words, batches_of, connected_components, groups, mix, release, staged
 
 #: Size bands grow by this factor, in tenths.
 BAND_TENTHS = 15
@@ -132,28 +132,89 @@ def _pairs_from(it: Iterator[pa.RecordBatch], size: int, band_list: list, pct: i
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(row).astype(np.int64))], ["sig", "id"])
 
 
-def shingle_sets(docs: DataFrame, size: int, with_values: bool = False) -> DataFrame:
-    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest[, shingles: array<long>])."""
-    fields = [T.StructField(n, T.LongType()) for n in ("id", "n_shingles", "d1", "d2")]
-    fields += [T.StructField("shingles", T.BinaryType())] if with_values else []
+#: Longs of the parity sketch: a set's elements flip its bits, so two sketches differ in no more
+#: bits than their sets in elements.
+SKETCH = 4
+SKETCH_COLS = tuple(f"b{i}" for i in range(SKETCH))
+
+
+def sketches(s: Shingles) -> np.ndarray:
+    """The parity sketch of each of the texts, (texts, SKETCH) longs."""
+    n = len(s.limits) - 1
+    bits = np.zeros((n, SKETCH * 64), np.uint8)
+    doc = np.repeat(np.arange(n), np.diff(s.limits))
+    np.bitwise_xor.at(bits.reshape(-1), doc * (SKETCH * 64) + (mix(s.values) >> np.uint64(40)).astype(np.int64) % (SKETCH * 64), 1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch)."""
+    names = ["id", "n_shingles", "d1", "d2", *SKETCH_COLS]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
-            n, d1, d2, values = [], [], [], []
+            n, d, sketch = [], [], []
             for _, w in groups(b.column(1), lower=True):
                 s = Shingles(w, size)
-                for i in range(len(s.limits) - 1):
-                    v = s.values[s.limits[i] : s.limits[i + 1]]
-                    x, y = set_digest(v)
-                    n.append(len(v))
-                    d1.append(x)
-                    d2.append(y)
-                    if with_values:
-                        values.append(v.tobytes())
-            cols = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, d1, d2))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(values, pa.binary())] if with_values else []), [f.name for f in fields])
+                n.append(np.diff(s.limits))
+                d += [set_digest(s.values[lo:hi]) for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
+                sketch.append(sketches(s))
+            sketch = np.concatenate(sketch)
+            cols = [np.concatenate(n), *np.array(d, np.int64).reshape(-1, 2).T, *sketch.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols)], names)
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
+
+#: Bits of the filter of wanted ids: it is of this size at any scale, and only spares work.
+FILTER_BITS = 1 << 25
 
-    return docs.mapInArrow(run, T.StructType(fields))
+
+def shingle_values(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, n_shingles, shingles: sorted 64-bit values as bytes) of the wanted ids and, by chance, few others.
+
+    A bitmap of hashed ids, of fixed size, goes to the tasks that read the texts, so that neither
+    texts nor the sets of other documents are shuffled. If the ids fill it, it lets more pass.
+    """
+    spark = docs.sparkSession
+    hashed = wanted.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
+    words = hashed.groupBy((F.col("h") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    got = words.toPandas()
+    bitmap[got["w"].to_numpy()] = got["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+    tested = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches_of(it):
+            h = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            ids = b.column(0).to_pylist()
+            for lo, w in groups(b.column(1), lower=True):
+                s = Shingles(w, size)
+                parts = [s.values[x:y] for x, y in zip(s.limits[:-1], s.limits[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo : lo + len(parts)], pa.int64()), pa.array(np.diff(s.limits)), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "n_shingles", "shingles"]
+                )
+
+    return tested.mapInArrow(run, "id long, n_shingles long, shingles binary").where("n_shingles > 0")
+
+
+def _may_link(one: str, two: str, pct: int) -> Column:
+    """Whether sizes and sketches of two sets, in columns with these endings, let them link."""
+    na, nb = F.col(f"n{one}"), F.col(f"n{two}")
+    differ = sum((F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{two}"))) for c in SKETCH_COLS[1:]), F.bit_count(F.col(f"b0{one}").bitwiseXOR(F.col(f"b0{two}"))))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * pct) & (differ * (100 + pct) <= (na + nb) * (100 - pct))
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Of pairs(a, b), those whose sizes and sketches let them link."""
+
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH_COLS])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("_a", "_b", pct)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -203,7 +264,9 @@ def ngram_jaccard_components(
     sets = staged(shingle_sets(docs, shingle_words), "sets")
     most = sets.agg(F.max("n_shingles")).first()[0] or 0
     some = sets.where("n_shingles > 0 and id is not null")
+    # Of rows that repeat an id each set may link; sketches of all are tried.
     reps = staged(some.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "representatives")
+    rep_of = staged(some.join(reps, ["d1", "d2"]).select("id", "rep").distinct(), "rep-of")
     band_list = bands(threshold_pct, most)
     known = docs.where("id is not null and text is not null")
     rows = known.mapInArrow(lambda it: _pairs_from(it, shingle_words, band_list, threshold_pct), "sig long, id long")
@@ -214,23 +277,28 @@ def ngram_jaccard_components(
     held = held.select("sig", "id", F.min("x").over(by_sig)["i"].alias("centre"), F.count("*").over(by_sig).alias("n"))
     buckets = staged(held.where("n > 1").select("sig", "id", "centre"), "buckets")
     del held
-    # Equal sets from different batches stand as their representative.
-    rep_of = staged(some.join(reps, ["d1", "d2"]).select("id", "rep").distinct(), "rep-of")
+    release(docs.sparkSession)
     stars = buckets.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    wanted = buckets.select("id").distinct()
-    texts = known.join(wanted, "id", "left_semi")
-    values = staged(shingle_sets(texts, shingle_words, with_values=True).where("n_shingles > 0"), "values")
+    stars = staged(_sketched(stars, some, threshold_pct).distinct(), "stars")
     same = rep_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = staged(same.union(_verified(stars, values, threshold_pct)), "links")
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        values = staged(shingle_values(known, ends, shingle_words), f"{name}-values")
+        return staged(_verified(pairs, values, threshold_pct), name)
+
+    links = same.union(check(stars, "links"))
     comp = staged(connected_components(links), "components")
+    release(docs.sparkSession)
     # Buckets that still hold several components: their pairs across components.
     label = buckets.join(comp, buckets["id"] == comp["node"], "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    open_ = staged(label.join(mixed, "sig"), "open")
-    other = open_.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"))
-    cross = open_.select("sig", F.col("id").alias("a"), "c").join(other, "sig").where("c <> cb and a < b").select("a", "b").distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    late = staged(_verified(cross, values, threshold_pct), "late-links")
+    label = label.select("*", F.min("c").over(by_sig).alias("lo"), F.max("c").over(by_sig).alias("hi")).where("lo < hi")
+    sketch = some.select(F.col("id").alias("_s"), F.col("n_shingles").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH_COLS])
+    open_ = staged(label.join(sketch, label["id"] == sketch["_s"]).select("sig", "c", F.col("id").alias("a"), "n_a", *[f"{c}_a" for c in SKETCH_COLS]), "open")
+    other = open_.select("sig", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n_a").alias("n_b"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in SKETCH_COLS])
+    apart = (F.col("one.sig") == F.col("two.sig")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & _may_link("_a", "_b", threshold_pct)
+    cross = open_.alias("one").join(other.alias("two"), apart).select("a", "b").distinct()
+    late = check(staged(cross.join(stars, ["a", "b"], "left_anti"), "cross"), "late-links")
     # Links found late join components.
     ends = late.select("a", "b")
     for side in ("a", "b"):
@@ -238,5 +306,5 @@ def ngram_jaccard_components(
     merged = connected_components(ends, "cc-late").select(F.col("node").alias("_c"), F.col("component").alias("_to"))
     final = comp.union(rep_of.join(comp, rep_of["id"] == comp["node"], "left_anti").select("id", "id"))
     final = final.join(merged, F.col("component") == F.col("_c"), "left").select(F.col("node").alias("_n"), F.coalesce("_to", "component").alias("_component"))
-    out = sets.select("id", "n_shingles").join(final, F.col("id") == F.col("_n"), "left")
+    out = sets.select("id", "n_shingles").join(final.distinct(), F.col("id") == F.col("_n"), "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("_component", "id").alias("component_id"))
