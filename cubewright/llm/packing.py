@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from cubewright.llm.common import staged
 
 #: Words of up to so many characters are remembered, so many of them in each Python worker.
-CACHE_CHARS, CACHE_WORDS = 48, 400_000
+CACHE_CHARS, CACHE_WORDS = 48, 800_000
 #: Python's split() takes these for white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Pieces of one length are ranked in groups of about so many.
@@ -30,10 +30,28 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
 
     def _code(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _code_words(self, words: list[str]) -> list[bytes]:
+        """Many words in one call, with a special token between them, whose id then parts their ids."""
+        if self.mark is None:
+            return self._code(words)
+        plain = [w for w in words if self.mark not in w]
+        coded = {}
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            whole = ids.tobytes()
+            coded.update((w, whole[4 * x + 4 : 4 * y]) for w, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
+        odd = [w for w in words if w not in coded]
+        coded.update(zip(odd, self._code(odd), strict=True))
+        return [coded[w] for w in words]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         known, new = self.known, set()
@@ -44,7 +62,7 @@ class WordTokenizer:
         fresh = [w for w in new if w not in known]
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
-            known.update(zip(part, self._code(part), strict=True))
+            known.update(zip(part, self._code_words(part), strict=True))
         for t, o in zip(texts, odd, strict=True):
             yield self._code([t])[0] if o else b"".join(map(known.__getitem__, t.split()))
         room = len(fresh) - (len(known) - CACHE_WORDS)
