@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes that separate words and that line keys are stripped of.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Texts are hashed in groups of about so many bytes, which bounds the scratch memory.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,6 +17,8 @@ PARTS = 3
 #: Star rounds compare a bucket's members with one centre; the centre is the least in one of so
 #: many orders, which the signature picks.
 ORDERS = 2
+#: So many of a document's signatures go along with each of its rows when components face each other.
+LOW_SIGS = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MASK = 2**64 - 1
 
@@ -293,10 +295,16 @@ def ngram_jaccard_components(
     # Buckets that still hold several components: their pairs across components.
     label = buckets.join(comp, buckets["id"] == comp["node"], "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
     label = label.select("*", F.min("c").over(by_sig).alias("lo"), F.max("c").over(by_sig).alias("hi")).where("lo < hi")
+    # Each row carries the least of its document's open signatures: a pair is left to the bucket of
+    # a smaller signature where both have one among these, so that it is seldom made twice.
+    mine = label.groupBy("id", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
     sketch = some.select(F.col("id").alias("_s"), F.col("n_shingles").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH_COLS])
-    open_ = staged(label.join(sketch, label["id"] == sketch["_s"]).select("sig", "c", F.col("id").alias("a"), "n_a", *[f"{c}_a" for c in SKETCH_COLS]), "open")
-    other = open_.select("sig", F.col("c").alias("cb"), F.col("a").alias("b"), F.col("n_a").alias("n_b"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in SKETCH_COLS])
+    mine = mine.join(sketch, mine["id"] == sketch["_s"]).withColumn("low_a", F.slice("sigs", 1, LOW_SIGS))
+    wide = ["n_a", *[f"{c}_a" for c in SKETCH_COLS], "low_a"]
+    open_ = staged(mine.select(F.explode("sigs").alias("sig"), "c", F.col("id").alias("a"), *wide), "open")
+    other = open_.select("sig", F.col("c").alias("cb"), F.col("a").alias("b"), *[F.col(c).alias(f"{c[:-1]}b") for c in wide])
     apart = (F.col("one.sig") == F.col("two.sig")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & _may_link("_a", "_b", threshold_pct)
+    apart = apart & (F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("one.sig")) >= F.col("one.sig"))
     cross = open_.alias("one").join(other.alias("two"), apart).select("a", "b").distinct()
     late = check(staged(cross.join(stars, ["a", "b"], "left_anti"), "cross"), "late-links")
     # Links found late join components.
