@@ -90,7 +90,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
         size = max(n, GROUP_BYTES + 1)
         out = []
@@ -136,7 +136,7 @@ class Words:
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | fresh[1:])) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        pw, self.inv = _powers(n + 1)
+        pw, self.inv = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=self.sums[1:])
         self.hash = self.span_hash(self.start, self.end)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cubewright.llm.bpe import bpe_decode, bpe_encode
 from cubewright.llm.chat import format_chat, read_chat_digests, text_part
+from cubewright.llm.chunk_dedup import dedup_substrings
 from cubewright.llm.common import table
 from cubewright.llm.embedding_join import near_vectors
 from cubewright.llm.html_text import extract_main_text
@@ -25,6 +26,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, threshold_pct=85)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = extract_main_text(table(spark, sf_dir, "pages"), keep_cols=["page_id", "url"])
     return df.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
