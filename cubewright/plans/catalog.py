@@ -239,9 +239,9 @@ def moments(spark, sf_dir):
     return m.select("y", "x", r6(_c("mu", 0), "mu0"), r6(_c("mu", 1), "mu1"), r6(_c("cov", 0, 0), "c00"), r6(_c("cov", 0, 1), "c01"), r6(_c("cov", 1, 1), "c11"))
 
 
-@query(f"""WITH {EV}, a AS (SELECT y, x, sum(v * c0) / nullif(sum(v), 0) AS mu, sum(v) AS s FROM evox GROUP BY y, x),
-b AS (SELECT y, x, any_value(mu) AS mu, sum(v * pow(c0 - mu, 2)) / any_value(s) AS v2, sum(v * pow(c0 - mu, 3)) / any_value(s) AS v3, sum(v * pow(c0 - mu, 4)) / any_value(s) AS v4 FROM evox JOIN a USING (y, x) GROUP BY y, x)
-SELECT y, x, {sql6('mu', 'mean')}, {sql6('v2', 'variance')}, {sql6('v3 / pow(v2, 1.5)', 'skew')}, {sql6('v4 / (v2 * v2) - 3', 'kurtosis')} FROM b""")
+@query(f"""WITH {EV}, a AS (SELECT y, x, coalesce(sum(v * c0) / nullif(sum(v), 0), 0) AS mu, sum(v) AS s FROM evox GROUP BY y, x),
+b AS (SELECT y, x, any_value(mu) AS mu, coalesce(sum(v * pow(c0 - mu, 2)) / nullif(any_value(s), 0), 0) AS v2, coalesce(sum(v * pow(c0 - mu, 3)) / nullif(any_value(s), 0), 0) AS v3, coalesce(sum(v * pow(c0 - mu, 4)) / nullif(any_value(s), 0), 0) AS v4 FROM evox JOIN a USING (y, x) GROUP BY y, x)
+SELECT y, x, {sql6('mu', 'mean')}, {sql6('v2', 'variance')}, {sql6('CASE WHEN sqrt(v2) > 1e-12 THEN v3 / pow(v2, 1.5) ELSE 0 END', 'skew')}, {sql6('CASE WHEN sqrt(v2) > 1e-12 THEN v4 / (v2 * v2) - 3 ELSE 0 END', 'kurtosis')} FROM b""")
 def higher_moments(spark, sf_dir):
     m = M.moments(cube_ev(spark, sf_dir), order=4)
     return m.select("y", "x", r6(_c("mu", 0), "mean"), r6(_c("cov", 0, 0), "variance"), r6(_c("skew", 0), "skew"), r6(_c("kurt", 0), "kurtosis"))
@@ -319,13 +319,14 @@ def mosaicity_ellipse(spark, sf_dir):
 
 def _strain(motor):
     def run(spark, sf_dir):
-        m = M.moments(cube_ev(spark, sf_dir))
-        return maps.strain(m, _c("mu", 0), motor).select("y", "x", r6("strain", "strain"))
+        cube = cube_ev(spark, sf_dir)
+        lit = cube.voxels.groupBy(*KEY).agg(F.sum("v").alias("s")).where("s > 0")
+        return maps.strain(M.moments(cube.masked(lit)), _c("mu", 0), motor).select("y", "x", r6("strain", "strain"))
 
     return run
 
 
-EV_MEAN = f"WITH {EV}, a AS (SELECT y, x, sum(v * c0) / nullif(sum(v), 0) AS mu FROM evox GROUP BY y, x), r AS (SELECT median(mu) AS r FROM a)"
+EV_MEAN = f"WITH {EV}, a AS (SELECT y, x, sum(v * c0) / sum(v) AS mu FROM evox GROUP BY y, x HAVING sum(v) > 0), r AS (SELECT median(mu) AS r FROM a)"
 QUERIES["strain_ccmth"] = _strain("ccmth")
 SQL["strain_ccmth"] = f"{EV_MEAN} SELECT y, x, {sql6('(radians(mu) - radians(r)) / tan(radians(r))', 'strain')} FROM a, r"
 QUERIES["strain_obpitch"] = _strain("obpitch")
@@ -338,7 +339,7 @@ def kernel_misorientation(spark, sf_dir):
     return maps.kam(_mom(spark, sf_dir), [_c("mu", 0), _c("mu", 1)]).select("y", "x", r6("kam", "kam"))
 
 
-@query(f"""WITH {LI}, {CLEAN}, a AS (SELECT y, x, sum(v * c0) / nullif(sum(v), 0) AS m FROM vox GROUP BY y, x), b AS (SELECT y, x, sum(v * c0) / nullif(sum(v), 0) AS m FROM sub GROUP BY y, x),
+@query(f"""WITH {LI}, {CLEAN}, a AS (SELECT y, x, coalesce(sum(v * c0) / nullif(sum(v), 0), 0) AS m FROM vox GROUP BY y, x), b AS (SELECT y, x, coalesce(sum(v * c0) / nullif(sum(v), 0), 0) AS m FROM sub GROUP BY y, x),
 d AS (SELECT a.m AS a, b.m AS b, b.m - a.m AS d FROM a JOIN b USING (y, x))
 SELECT count(*) AS n, {sql6('median(abs(d))', 'median_abs')}, {sql6('quantile_cont(abs(d), 0.95)', 'p95_abs')}, {sql6('avg(d)', 'mean')}, {sql6('stddev_pop(d)', 'std')}, {sql6('corr(a, b)', 'pearson_r')},
   {sql6('avg(CASE WHEN abs(d) <= 0.0005 THEN 1.0 ELSE 0.0 END)', 'within_step')} FROM d""")

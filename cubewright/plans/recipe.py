@@ -102,7 +102,7 @@ def analyze(cube: Cube, method: str = "auto", mask: DataFrame | str | None = "au
     if method == "gaussND2":
         return fits.fit_two_gaussians_nd(curves, coords, cube.grid, **options)
     run = {"gauss1d": fits.fit_gaussian_1d, "gauss2p": fits.fit_two_gaussians_1d, "pv": fits.fit_pseudo_voigt_1d}.get(method, fits.fit_gaussian_nd)
-    return run(curves, coords[0] if dims == 1 else coords, **options)
+    return run(curves, coords[0] if method in ("gauss1d", "gauss2p", "pv") else coords, **options)
 
 
 def process(cube: Cube, recipe: Recipe) -> tuple[dict[str, DataFrame], list[str]]:
