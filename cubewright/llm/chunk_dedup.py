@@ -113,7 +113,7 @@ def _bitmap(repeated: DataFrame):
     """The repeated digests' bits: FILTER_BITS / 8 bytes, whatever their number."""
     h = F.expr("shiftrightunsigned(d1, 38)")
     words = repeated.select(F.floor(h / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(d1, 38) % 32 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(FILTER_BITS // 32, "<u4")
     bits[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
     return repeated.sparkSession.sparkContext.broadcast(bits.view(np.uint8))

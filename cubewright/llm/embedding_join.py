@@ -154,6 +154,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if sized is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     dim = sized["d"]
+    width_of = np.dtype("<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8")  # blocks hold vectors as they came
     reps = keyed.where("k is not null").groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
     reps = staged(reps.select("k", "rep", "weight", "embedding"), "vectors")
     basis, width = _principal(reps, dim), float(np.sqrt(2 - 2 * least_cosine) + 1e-9)
@@ -183,7 +184,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             y = _unit(raw, dim) @ basis
             cell = np.unique(np.stack([part[c].to_numpy() for c in cells[:KEY_DIMS]], axis=1), axis=0)
             keys = [",".join(map(str, c)) for c in cell.tolist()]
-            flat = raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = raw.flatten().to_numpy(zero_copy_only=False).astype(width_of)
             out = [[base + k], [part.num_rows], [part["rep"].to_numpy().astype("<i8").tobytes()], [part["weight"].to_numpy().astype("<i8").tobytes()], [flat.tobytes()]]
             out += [[y.min(axis=0).tolist()], [y.max(axis=0).tolist()], [keys]]
             k += 1
@@ -219,7 +220,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(x: pa.Scalar) -> np.ndarray:
-            flat = pa.array(np.frombuffer(x.as_buffer(), np.float64))
+            flat = pa.array(np.frombuffer(x.as_buffer(), width_of))
             return _unit(pa.FixedSizeListArray.from_arrays(flat, dim), dim)
 
         for b in it:

@@ -182,7 +182,7 @@ def shingle_values(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     hashed = wanted.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
     words = hashed.groupBy((F.col("h") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toPandas()
+    got = words.toArrow()
     bitmap[got["w"].to_numpy()] = got["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
     tested = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
