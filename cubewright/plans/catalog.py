@@ -365,6 +365,61 @@ def geometry(spark, sf_dir):
     return t.select("s_suppkey", r6(maps.magnification_col(F.col("m")), "magnification"), maps.objective_col(F.col("m")).alias("objective"), r6(maps.pixel_size_col(F.col("m")), "pixel_um"))
 
 
+def _suppliers(spark, sf_dir):
+    """suppliers as pixels of a map: y, x, and a number k to make fit results from."""
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("sup").alias("scan_id"), F.floor(k / 16.0).cast("int").alias("y"), (k % 16).cast("int").alias("x"), k.alias("k"))
+
+
+@query(f"""WITH g AS (SELECT s_suppkey AS k, 2 * sqrt(2 * ln(2)) * (0.05 + (s_suppkey % 7) * 0.01) AS g, 2 * (0.02 + (s_suppkey % 5) * 0.02) AS w FROM supplier)
+SELECT k, {sql6('pow(pow(g, 5) + 2.69269 * pow(g, 4) * w + 2.42843 * pow(g, 3) * w * w + 4.47163 * g * g * pow(w, 3) + 0.07842 * g * pow(w, 4) + pow(w, 5), 0.2)', 'fwhm')} FROM g""")
+def pseudo_voigt_fwhm(spark, sf_dir):
+    t = _suppliers(spark, sf_dir)
+    return t.select("k", r6(maps.pseudo_voigt_fwhm(0.05 + F.col("k") % 7 * 0.01, 0.02 + F.col("k") % 5 * 0.02), "fwhm"))
+
+
+@query(f"""WITH g AS (SELECT s_suppkey AS k, (s_suppkey % 11) * 0.1 AS d0, (s_suppkey % 3) * -0.2 AS d1, 1.0 + (s_suppkey % 4) * 0.5 AS a, 0.25 AS b, 2.0 AS c FROM supplier)
+SELECT k, {sql6('CASE WHEN k % 2 = 0 THEN d0 ELSE 0 END', 'd0')}, {sql6('CASE WHEN k % 2 = 0 THEN d1 ELSE 0 END', 'd1')},
+  {sql6('CASE WHEN k % 2 = 0 THEN sqrt((c * d0 * d0 - 2 * b * d0 * d1 + a * d1 * d1) / (a * c - b * b)) ELSE 0 END', 'mahalanobis')} FROM g""")
+def peak_separation(spark, sf_dir):
+    t, k = _suppliers(spark, sf_dir), F.col("k")
+    two = F.array(F.array(1.0 + k % 4 * 0.5 + 0.25, F.lit(0.5)), F.array(F.lit(0.5), F.lit(2.5)))
+    one = F.array(F.array(1.0 + k % 4 * 0.5 - 0.25, F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.5)))
+    t = t.withColumns({"mu1": F.array(F.lit(1.0), F.lit(2.0)), "mu2": F.array(1.0 + k % 11 * 0.1, 2.0 - k % 3 * 0.2), "cov1": one, "cov2": two, "n_peaks": F.when(k % 2 == 0, 2).otherwise(1)})
+    got = maps.two_peak_separation(t).withColumn("k", F.col("y") * 16 + F.col("x"))
+    return got.select(F.col("k").cast("long").alias("k"), r6("d0", "d0"), r6("d1", "d1"), r6("mahalanobis", "mahalanobis"))
+
+
+@query(f"WITH {LI}, {MOM.format(t='vox')} SELECT y, x, round((mu0 - (SELECT median(mu0) FROM mom)) * 1000, 4) + 0.0 AS dev_mdeg FROM mom")
+def deviation_mdeg(spark, sf_dir):
+    """The deviation from the map's median in thousandths."""
+    m = _mom(spark, sf_dir).select(*KEY, _c("mu", 0).alias("m"))
+    ref = m.groupBy("scan_id").agg(F.median("m").alias("ref"))
+    return m.join(ref, "scan_id").select("y", "x", (F.round((F.col("m") - F.col("ref")) * 1000, 4) + F.lit(0.0)).alias("dev_mdeg"))
+
+
+@query(f"WITH {LI}, {MOM.format(t='vox')} SELECT {sql6('-(abs(median(mu0)) + 2 * stddev_pop(mu0))', 'lo')}, {sql6('abs(median(mu0)) + 2 * stddev_pop(mu0)', 'hi')} FROM mom")
+def symmetric_limits(spark, sf_dir):
+    return M.robust_limits(_mom(spark, sf_dir).select(_c("mu", 0).alias("m")), "m", 2.0, symmetric=True).select(r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query(f"WITH {EV3} SELECT scan_id, CAST(count(DISTINCT y * 8 + x) AS BIGINT) AS pixels, CAST(count(DISTINCT i0) AS BIGINT) AS points, CAST(sum(v) AS BIGINT) AS counts FROM evox GROUP BY scan_id")
+def scan_catalogue(spark, sf_dir):
+    """What scans there are: pixels, motor points and counts of each."""
+    v = cube_ev(spark, sf_dir, by_day=True).voxels
+    return v.groupBy("scan_id").agg(F.count_distinct(F.col("y") * 8 + F.col("x")).alias("pixels"), F.count_distinct("i0").alias("points"), F.sum("v").alias("counts"))
+
+
+@query(f"WITH {LI}, {MOM.format(t='vox')}, s AS (SELECT sum(s) AS s FROM mom) SELECT y, x, 'mu' AS name, 0 AS layer, {sql6('mu0', 'value')} FROM mom WHERE y % 2 = 0 UNION ALL SELECT y, x, 'mu', 1, {sql6('mu1', 'value')} FROM mom WHERE y % 2 = 0")
+def display_maps(spark, sf_dir):
+    """A result as one long table, without what the mask hides."""
+    from cubewright.sources.store import long_maps
+
+    cube = cube_li(spark, sf_dir)
+    long = long_maps(M.moments(cube).drop("cov"), mask=cube.pixels().where("y % 2 = 0"))
+    return long.where("not isnan(value)").select("y", "x", "name", F.col("layer").cast("int").alias("layer"), r6("value", "value"))
+
+
 # Frame order, stacking and partial scans ----------------------------------------------------
 
 
