@@ -149,23 +149,34 @@ def sketches(s: Shingles) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def wide_sketch(values: np.ndarray) -> bytes:
+    """A parity sketch of at least two bits an element, a power of two of them; halves fold by XOR."""
+    bits = 256
+    while bits < 2 * len(values):
+        bits *= 2
+    at = (mix(values + _GOLD) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch)."""
+    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch, a wide one as bytes)."""
     names = ["id", "n_shingles", "d1", "d2", *SKETCH_COLS]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
-            n, d, sketch = [], [], []
+            n, d, sketch, wide = [], [], [], []
             for _, w in groups(b.column(1), lower=True):
                 s = Shingles(w, size)
                 n.append(np.diff(s.limits))
-                d += [set_digest(s.values[lo:hi]) for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
+                sets = [s.values[lo:hi] for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
+                d += map(set_digest, sets)
+                wide += map(wide_sketch, sets)
                 sketch.append(sketches(s))
             sketch = np.concatenate(sketch)
             cols = [np.concatenate(n), *np.array(d, np.int64).reshape(-1, 2).T, *sketch.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols), pa.array(wide, pa.binary())], [*names, "wide"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    return docs.mapInArrow(run, T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("wide", T.BinaryType())]))
 
 
 #: Bits of the filter of wanted ids: it is of this size at any scale, and only spares work.
@@ -210,6 +221,27 @@ def _may_link(one: str, two: str, pct: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * pct) & (differ * (100 + pct) <= (na + nb) * (100 - pct))
 
 
+def _widely_sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Of pairs(a, b), those whose wide sketches let them link."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keep = []
+            for x, y, both in zip(b.column("wa"), b.column("wb"), b.column("n").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if len(x) < len(y):
+                    x, y = y, x
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + pct) <= both * (100 - pct))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("wa"))
+    two = sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("wb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "wa", "wb")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Of pairs(a, b), those whose sizes and sketches let them link."""
 
@@ -282,6 +314,10 @@ def ngram_jaccard_components(
     release(docs.sparkSession)
     stars = buckets.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     stars = staged(_sketched(stars, some, threshold_pct).distinct(), "stars")
+
+    def narrowed(pairs: DataFrame, name: str) -> DataFrame:
+        return staged(_widely_sketched(pairs, some, threshold_pct), name)
+
     same = rep_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
@@ -289,7 +325,7 @@ def ngram_jaccard_components(
         values = staged(shingle_values(known, ends, shingle_words), f"{name}-values")
         return staged(_verified(pairs, values, threshold_pct), name)
 
-    links = same.union(check(stars, "links"))
+    links = same.union(check(narrowed(stars, "near-stars"), "links"))
     comp = staged(connected_components(links), "components")
     release(docs.sparkSession)
     # Buckets that still hold several components: their pairs across components.
@@ -306,7 +342,7 @@ def ngram_jaccard_components(
     apart = (F.col("one.sig") == F.col("two.sig")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & _may_link("_a", "_b", threshold_pct)
     apart = apart & (F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("one.sig")) >= F.col("one.sig"))
     cross = open_.alias("one").join(other.alias("two"), apart).select("a", "b").distinct()
-    late = check(staged(cross.join(stars, ["a", "b"], "left_anti"), "cross"), "late-links")
+    late = check(narrowed(cross.join(stars, ["a", "b"], "left_anti"), "near-cross"), "late-links")
     # Links found late join components.
     ends = late.select("a", "b")
     for side in ("a", "b"):
