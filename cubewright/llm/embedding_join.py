@@ -168,8 +168,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(y[:, i].copy()) for i in range(dims)]], cell_schema.names)
 
     placed = reps.select("rep", "weight", "embedding").mapInArrow(to_cells, cell_schema)
-    n_parts = max(1, reps.count() // (4 * BLOCK) + 1)
+    n_parts = reps.count() // BLOCK + 1
     ordered = placed.repartitionByRange(n_parts, *cells, "rep").sortWithinPartitions(*cells, "rep")
+    ordered = ordered.coalesce(n_parts)  # neighbours go together, should there be more partitions than blocks
     block_schema = "block long, n int, reps binary, weights binary, vectors binary, lo array<double>, hi array<double>, keys array<string>"
 
     def to_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
