@@ -62,12 +62,12 @@ def _furniture(attrs: str) -> bool:
 class Page:
     """A page's DOM as parallel lists, parents before children.
 
-    tag, parent, dropped (furniture, or inside it) of each node; runs: (node, text) in page order,
-    and (node, None) where a line breaks.
+    tag, parent, dropped (furniture, or inside it) and linked (a link, or inside one) of each node;
+    runs: (node, text) in page order, and (node, None) where a line breaks.
     """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped = ["#page"], [-1], [False]
+        self.tag, self.parent, self.dropped, self.linked = ["#page"], [-1], [False], [False]
         self.runs: list[tuple[int, str | None]] = []
         stack, at, n = [0], 0, len(source)
         last_end = source.rfind(">")
@@ -116,6 +116,7 @@ class Page:
                 self.runs.append((here, None))
             tag.append(name)
             parent.append(here)
+            self.linked.append(name == "a" or self.linked[here])
             inside = any(tag[x] in ("article", "main") for x in stack) if name == "header" else True
             dropped.append(dropped[here] or name in DROPPED or not inside or (name not in ("html", "body", "article", "main") and _furniture(attrs)))
             node = len(tag) - 1
@@ -132,14 +133,12 @@ class Page:
 def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
     """Composite text density, density sum, characters and link characters of each node."""
     n = len(page.tag)
-    chars, link, tags, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
-    for i in range(1, n):
-        in_link[i] = page.tag[i] == "a" or in_link[page.parent[i]]
+    chars, link, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, s in page.runs:
         if s:
             k = len("".join(s.split()))
             chars[node] += k
-            if in_link[node]:
+            if page.linked[node]:
                 link[node] += k
     for i in range(n - 1, 0, -1):
         if page.dropped[i]:
@@ -175,11 +174,21 @@ def main_text(source: str | None) -> str:
     path = [best]
     while path[-1]:
         path.append(page.parent[path[-1]])
+    block, own = [0] * n, [0] * n
+    for i in range(1, n):
+        block[i] = i if page.tag[i] in BLOCKS else block[page.parent[i]]
+    for node, s in page.runs:
+        if s and not page.linked[node]:
+            own[block[node]] += len("".join(s.split()))
     # The least density on the way from the best subtree up to the body is what other nodes must
-    # reach; an article or main element on that way is content as a whole.
+    # reach; an article or main element on that way is content as a whole, else a node that holds
+    # as much text between its blocks as the best subtree in all.
     limit = min(density[i] for i in path)
-    top = next((i for i in reversed(path) if page.tag[i] in ("article", "main") and 2 * chars[i] >= chars[best]), best)
-    on_path, keep = set(path), [False] * n
+    top = next((i for i in reversed(path) if page.tag[i] in ("article", "main") and 2 * chars[i] >= chars[best]), None)
+    loose = top is None
+    if loose:
+        top = next((i for i in reversed(path) if own[i] >= chars[best]), best)
+    on_path, near, keep = set(path), set(path), [False] * n
     for i in range(n):
         if page.dropped[i]:
             continue
@@ -187,15 +196,17 @@ def main_text(source: str | None) -> str:
         if i == top or (i and keep[p]):
             keep[i] = page.tag[i] in ("a", "p") or not (page.tag[i] in BLOCKS and chars[i] >= 1 and 2 * link[i] > chars[i] and page.tag[i] != "li")
             keep[i] = keep[i] or i == top
-        elif i not in on_path and p in on_path and density[i] >= limit and 3 * link[i] <= chars[i] and page.tag[i] in BLOCKS:
-            keep[i] = top == best and page.tag[best] not in ("article", "main")
-    block = [0] * n
-    for i in range(1, n):
-        block[i] = i if page.tag[i] in BLOCKS else block[page.parent[i]]
+        elif loose and i not in on_path and p in near:
+            keep[i] = density[i] >= limit and 3 * link[i] <= chars[i]
+            if not keep[i] and page.tag[i] not in BLOCKS:
+                near.add(i)
+    used = [keep[node] for node, _ in page.runs]
+    if loose:
+        _keep_between(page, block, on_path, used)
     out: list[str] = []
     last, buffer = -1, []
-    for node, s in page.runs:
-        if not keep[node]:
+    for (node, s), u in zip(page.runs, used, strict=True):
+        if not u:
             continue
         if block[node] != last:
             out.append("".join(buffer))
@@ -205,13 +216,30 @@ def main_text(source: str | None) -> str:
     return " ".join(w for part in out for w in part.split())
 
 
+def _keep_between(page: Page, block: list[int], on_path: set[int], used: list[bool]) -> None:
+    """Marks as used what the nodes on the way to the body hold between their blocks, but for stretches mostly of links."""
+    runs, lo = page.runs, 0
+    while lo < len(runs):
+        hi, holder, chars, link = lo, block[runs[lo][0]], 0, 0
+        while hi < len(runs) and block[runs[hi][0]] == holder:
+            node, s = runs[hi]
+            k = len("".join(s.split())) if s else 0
+            chars += k
+            link += k * page.linked[node]
+            hi += 1
+        if holder in on_path and 2 * link <= chars:
+            used[lo:hi] = [True] * (hi - lo)
+        lo = hi
+
+
 def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """Adds text_col: each page's main text, from its whole source.
 
     The page becomes a DOM (unclosed and misnested tags are allowed), furniture by element or by
     class, id and role goes, and for every node the link-adjusted number of characters a tag is
     computed. The subtree whose children's densities sum highest is the article, with neighbours
-    as dense as the least dense node between it and the body.
+    as dense as the least dense node between it and the body and the text that lies directly in
+    the nodes up to the body. Where one of those holds as much text of its own, it is the article.
 
     Keeps keep_cols (default: all columns); a column called text_col is replaced. A null or
     empty page, or one without text, gives an empty string. Repeated rows are extracted each; an

@@ -275,6 +275,21 @@ def test_main_text():
     assert main_text("just words &lt; here") == "just words < here"
 
 
+def test_main_text_between_blocks():
+    lines = [f"line {i} " + "abcde fghij " * 30 for i in range(10)]
+    quote = "<blockquote>" + "".join(f"<p>quote {i} " + "vwxyz " * 58 + "</p>" for i in range(2)) + "</blockquote>"
+    for start, end in (("<body>", "</body>"), ("<body><div id=post>", "</div></body>")):
+        page = start + "<h2>Head</h2>" + "<br>".join(lines[:5]) + "<br>" + quote + "<b>In bold.</b> See <a href=x>a link</a> too.<br>" + "<br>".join(lines[5:]) + "<br><br>" + end
+        text = " ".join(f"{'Head ' * (i == 0)}{x}" for i, x in enumerate(lines[:5])) + " " + " ".join(f"quote {i} " + "vwxyz " * 58 for i in range(2))
+        text += " In bold. See a link too. " + " ".join(lines[5:])
+        assert main_text(page) == " ".join(text.split())
+    # Less text than the best subtree holds, a bar of links, an inline element around blocks.
+    long = "".join(f"<p>paragraph {i} " + "vwxyz " * 200 + "</p>" for i in range(5))
+    page = f"<body><a href=1>Home</a> | <a href=2>About</a><div>{long}</div>Some words of <i>its own</i>.<font><p>font {'klmno ' * 400}</p></font></body>"
+    got = main_text(page)
+    assert "Home" not in got and "Some words of its own. font klmno" in got and got.count("paragraph") == 5
+
+
 def test_html_frames(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>a</p>"), (2, "<p>a</p>")], "page_id long, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"], r["text"]) for r in extract_main_text(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
