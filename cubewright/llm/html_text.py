@@ -17,13 +17,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 #: Elements that hold no article text.
 DROPPED = frozenset(
-    "script style noscript template iframe object embed svg math canvas audio video map head title nav footer aside form button input select textarea label fieldset menu dialog xmp noembed noframes".split()
+    "script style noscript template iframe object embed svg math canvas audio video map head title nav footer aside button input select textarea label menu dialog xmp noembed noframes".split()
 )
 BLOCKS = frozenset(
-    "html body article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header main address hr details summary center".split()
+    "html body article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header main address hr details summary center form fieldset".split()
 )
+#: Furniture like what a mark names, but these may hold the whole page.
+WRAPPERS = frozenset("form fieldset".split())
 #: What a start tag of each name closes, and where that search stops.
-_P_CLOSERS = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "dt", "dd", "li"} | {"form", "nav", "aside", "footer", "fieldset", "menu"}
+_P_CLOSERS = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "dt", "dd", "li"} | {"nav", "aside", "footer", "menu"}
 _IMPLIED = {
     "li": (frozenset({"li"}), frozenset("ul ol menu".split())),
     "dt": (frozenset("dt dd".split()), frozenset({"dl"})),
@@ -41,22 +43,31 @@ FURNITURE = frozenset(
     "footer comment comments commentlist respond reply replies disqus cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended pagination pager toolbar widget widgets masthead topbar search complementary contentinfo dialog form skip hidden".split()
 )
+#: A class, id or role that begins with one of these names what the node is; a node that holds most
+#: of the page's text stays furniture then, unless hardly any text is left elsewhere.
+STRICT = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments commentlist respond reply replies disqus cookie cookies consent gdpr popup "
+    "modal overlay newsletter subscribe subscription signup login dialog".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.DOTALL)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_HIDDEN = re.compile(r"""^(?:[^"']|"[^"]*"|'[^']*')*?(?<!\S)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+")
 _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in RAW}
 
 
-def _furniture(attrs: str) -> bool:
-    if not attrs:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _MARK.finditer(attrs):
-        if any(w.lower() in FURNITURE for w in _PART.findall(m[2] or m[3] or m[4] or "")):
-            return True
-    return False
+def _furniture(attrs: str) -> int:
+    """2 where a mark begins with a STRICT word, 1 where it holds a word of furniture, else 0."""
+    found = 0
+    if attrs:
+        for m in _MARK.finditer(attrs):
+            for mark in (m[2] or m[3] or m[4] or "").split():
+                words = [w.lower() for w in _PART.findall(mark)]
+                if any(w in FURNITURE for w in words):
+                    if words[0] in STRICT:
+                        return 2
+                    found = 1
+    return found
 
 
 class Page:
@@ -69,6 +80,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.dropped, self.linked = ["#page"], [-1], [False], [False]
         self.runs: list[tuple[int, str | None]] = []
+        self.mark = [0]
         stack, at, n = [0], 0, len(source)
         last_end = source.rfind(">")
         tag, parent, dropped = self.tag, self.parent, self.dropped
@@ -118,7 +130,10 @@ class Page:
             parent.append(here)
             self.linked.append(name == "a" or self.linked[here])
             inside = any(tag[x] in ("article", "main") for x in stack) if name == "header" else True
-            dropped.append(dropped[here] or name in DROPPED or not inside or (name not in ("html", "body", "article", "main") and _furniture(attrs)))
+            lasting = name in ("html", "body", "article", "main")
+            gone = dropped[here] or name in DROPPED or not inside or (not lasting and bool(attrs) and _HIDDEN.search(attrs) is not None)
+            dropped.append(gone)
+            self.mark.append(0 if gone else _furniture(attrs) or int(name in WRAPPERS))
             node = len(tag) - 1
             if name in RAW:
                 end = _END_RAW[name].search(source, at)
@@ -128,6 +143,46 @@ class Page:
                 at = n if close < 0 else close + 1
             elif name not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append(node)
+        if any(self.mark):
+            self._drop_marked()
+
+    def _drop_marked(self) -> None:
+        """Drops marked nodes, but for those that hold the article or most of the page's text.
+
+        Text of links doesn't count. Main and article elements without a mark of their own count as
+        the article (all of them where each has a mark), articles if they have half of the text of
+        the longest, and those inside a STRICT mark if they have more text than lies outside of marks.
+        """
+        tag, parent, mark, dropped = self.tag, self.parent, self.mark, self.dropped
+        n = len(tag)
+        chars = [0] * n
+        for node, s in self.runs:
+            if s and not self.linked[node]:
+                chars[node] += len("".join(s.split()))
+        left, clear, strict = 0, [True] * n, [False] * n
+        for i in range(1, n):
+            strict[i] = strict[parent[i]] or mark[i] == 2
+            clear[i] = clear[parent[i]] and (not mark[i] or tag[i] in ("html", "body", "article", "main"))
+            left += clear[i] * chars[i]
+        left += chars[0]
+        for i in range(n - 1, 0, -1):
+            chars[parent[i]] += chars[i]
+        content = [i for i in range(n) if tag[i] in ("article", "main") and chars[i] > (left if strict[i] else 0) and not dropped[i]]
+        content = [i for i in content if not mark[i]] or content
+        longest = max((chars[i] for i in content if tag[i] == "article"), default=0)
+        holds = [False] * n
+        for i in content:
+            if tag[i] == "main" or 2 * chars[i] >= longest:
+                while i and not holds[i]:
+                    holds[i] = True
+                    i = parent[i]
+        for i in range(1, n):
+            if dropped[parent[i]]:
+                dropped[i] = True
+            elif mark[i] and tag[i] not in ("html", "body", "article", "main") and not holds[i]:
+                most = 2 * chars[i] > chars[0] and (mark[i] < 2 or 10 * left < chars[0])
+                dropped[i] = not most
+        self.runs = [r for r in self.runs if not dropped[r[0]]]
 
 
 def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
@@ -236,7 +291,8 @@ def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "te
     """Adds text_col: each page's main text, from its whole source.
 
     The page becomes a DOM (unclosed and misnested tags are allowed), furniture by element or by
-    class, id and role goes, and for every node the link-adjusted number of characters a tag is
+    class, id and role goes (by these, and forms, only what doesn't hold the article or most of the
+    text), and for every node the link-adjusted number of characters a tag is
     computed. The subtree whose children's densities sum highest is the article, with neighbours
     as dense as the least dense node between it and the body and the text that lies directly in
     the nodes up to the body. Where one of those holds as much text of its own, it is the article.

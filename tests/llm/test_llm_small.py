@@ -290,6 +290,25 @@ def test_main_text_between_blocks():
     assert "Home" not in got and "Some words of its own. font klmno" in got and got.count("paragraph") == 5
 
 
+def test_main_text_in_marked_wrappers():
+    body = "".join(f"<p>paragraph {i} " + "vwxyz " * 60 + "</p>" for i in range(4))
+    want = " ".join(f"paragraph {i} " + "vwxyz " * 60 for i in range(4)).split()
+    side = '<div class="sidebar"><p>Side text of a few words.</p></div>'
+    comments = '<div id="comments">' + "<article class=comment><p>I disagree with it all, " + "comment " * 40 + "</p></article>"
+    marks = ['class="content has-sidebar"', 'id="no-sidebar-layout"', *(f"class={w}" for w in "side form share related search widget".split()), 'class="js hidden x"']
+    for wrap in [f"<div {m}>" for m in marks] + ['<form id="aspnetForm"><input><label>Mail</label><select><option>x</select>', "<form><fieldset>"]:
+        end = "".join(f"</{t}>" for t in reversed(re.findall(r"<(div|form|fieldset)", wrap)))
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert main_text(f"<body>{wrap}{inner}{side}{end}{comments}</div></body>").split() == want
+    # The whole page may be in marks; what is hidden, and comments longer than the post, still go.
+    assert main_text(f'<body><div class="replies">{body}</div></body>').split() == want
+    assert main_text(f"<body><div style='display: none'><article>{body}</article></div><p>Shown.</p></body>") == "Shown."
+    for tag in ("article", "div"):
+        for c in (comments, comments.replace(" class=comment", "")):
+            assert main_text(f"<body><{tag}>{body}</{tag}>{c}{'<p>' + 'reply ' * 900}</p></div></body>").split() == want
+    assert main_text(f'<body><div class="modal-open"><article>{body}</article></div><p>{"foot " * 90}</p></body>').split() == want
+
+
 def test_html_frames(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>a</p>"), (2, "<p>a</p>")], "page_id long, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"], r["text"]) for r in extract_main_text(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
