@@ -24,6 +24,15 @@ BLOCKS = frozenset(
 )
 #: Furniture like what a mark names, but these may hold the whole page.
 WRAPPERS = frozenset("form fieldset".split())
+#: What can be a bar of links within an article that no article or main element bounds, and what
+#: else can be one where the chosen subtree lays out a page rather than holds an article.
+BARS = frozenset("div section center address details".split())
+LISTS = frozenset("ul ol dl table thead tbody tfoot tr".split())
+PAGE_BARS = BARS | LISTS | {"td", "th"}
+LAYOUT = frozenset("#page html body table thead tbody tfoot tr".split())
+#: Links that a bar has at least; it is a bar if they make up over half of it, a list or table if
+#: over nine tenths.
+BAR_LINKS = 3
 #: What a start tag of each name closes, and where that search stops.
 _P_CLOSERS = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "dt", "dd", "li"} | {"nav", "aside", "footer", "menu"}
 _IMPLIED = {
@@ -185,8 +194,8 @@ class Page:
         self.runs = [r for r in self.runs if not dropped[r[0]]]
 
 
-def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
-    """Composite text density, density sum, characters and link characters of each node."""
+def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
+    """Composite text density, density sum, characters, link characters and links of each node."""
     n = len(page.tag)
     chars, link, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for node, s in page.runs:
@@ -213,7 +222,7 @@ def _densities(page: Page) -> tuple[list[float], list[float], list[int], list[in
             density[i] = c / t * (math.log(inner) / math.log(base) if base > 1 and inner > 0 else math.log(max(inner, 1.0)))
         if i:
             total[page.parent[i]] += density[i]
-    return density, total, chars, link
+    return density, total, chars, link, link_tags
 
 
 def main_text(source: str | None) -> str:
@@ -222,7 +231,7 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     n = len(page.tag)
-    density, total, chars, link = _densities(page)
+    density, total, chars, link, links = _densities(page)
     if not chars[0]:
         return ""
     best = max(range(n), key=lambda i: (total[i], -i))
@@ -243,14 +252,17 @@ def main_text(source: str | None) -> str:
     loose = top is None
     if loose:
         top = next((i for i in reversed(path) if own[i] >= chars[best]), best)
-    on_path, near, keep = set(path), set(path), [False] * n
+    # Of an article nothing goes for its links but bars where no element says that it is one.
+    bars = PAGE_BARS if page.tag[top] in LAYOUT else BARS
+    on_path, near, keep, sure = set(path), set(path), [False] * n, [not loose] * n
     for i in range(n):
         if page.dropped[i]:
             continue
         p = page.parent[i]
         if i == top or (i and keep[p]):
-            keep[i] = page.tag[i] in ("a", "p") or not (page.tag[i] in BLOCKS and chars[i] >= 1 and 2 * link[i] > chars[i] and page.tag[i] != "li")
-            keep[i] = keep[i] or i == top
+            sure[i] = (i > 0 and sure[p]) or page.tag[i] in ("article", "main")
+            keep[i] = i == top or sure[i] or page.tag[i] not in bars or links[i] < BAR_LINKS
+            keep[i] = keep[i] or (10 * link[i] <= 9 * chars[i] if page.tag[i] in LISTS else 2 * link[i] <= chars[i])
         elif loose and i not in on_path and p in near:
             keep[i] = density[i] >= limit and 3 * link[i] <= chars[i]
             if not keep[i] and page.tag[i] not in BLOCKS:
@@ -296,6 +308,9 @@ def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "te
     computed. The subtree whose children's densities sum highest is the article, with neighbours
     as dense as the least dense node between it and the body and the text that lies directly in
     the nodes up to the body. Where one of those holds as much text of its own, it is the article.
+    Inside of it, links drop nothing but bars of three or more, and no part of an article or main
+    element; lists and tables of nothing but links count as bars only where the article is the body
+    or a table itself.
 
     Keeps keep_cols (default: all columns); a column called text_col is replaced. A null or
     empty page, or one without text, gives an empty string. Repeated rows are extracted each; an

@@ -309,6 +309,22 @@ def test_main_text_in_marked_wrappers():
     assert main_text(f'<body><div class="modal-open"><article>{body}</article></div><p>{"foot " * 90}</p></body>').split() == want
 
 
+def test_main_text_keeps_linked_blocks():
+    words = "".join(f"<p>paragraph {i} " + "vwxyz " * 60 + "</p>" for i in range(4))
+    one = '<h2><a href="#m">Methods</a></h2><dl><dt><a href=a>Term</a></dt><dd><a href=b>Meaning</a></dd></dl><figure><figcaption><a href=c>Caption</a></figcaption></figure>'
+    one += "<blockquote><a href=d>Quoted</a></blockquote><table><caption><a href=e>Cap</a></caption><tr><th><a href=f>Head</a></th><td><a href=g>Cell</a></td><td>plain</td></tr></table>"
+    refs = "".join(f"<{t}>" + "".join(f"<li><a href={i}>Reference {t} {i}</a></li>" for i in range(5)) + f"</{t}>" for t in ("ul", "ol"))
+    cells = "<table>" + "".join(f"<tr><td><a href={i}>Linked {i}</a></td></tr>" for i in range(4)) + "</table>"
+    want = re.sub("<[^>]*>", " ", words + one + refs + cells).split()
+    for tag in ("article", "main", "div"):
+        assert main_text(f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul><{tag}>{words}{one}{refs}{cells}</{tag}></body>").split() == want
+    bar = "<div>" + "".join(f"<a href={i}>Refers {i}</a> " for i in range(5)) + "</div>"
+    assert "Refers 4" in main_text(f"<body><article>{words}{bar}</article></body>")
+    assert "Refers" not in main_text(f"<body><div>{words}{bar}</div></body>")
+    got = main_text(f"<body>{words}{one}{refs}</body>")
+    assert "Reference" not in got and all(w in got for w in "Methods Term Meaning Caption Quoted Cap Head Cell plain".split())
+
+
 def test_html_frames(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>a</p>"), (2, "<p>a</p>")], "page_id long, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"], r["text"]) for r in extract_main_text(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
