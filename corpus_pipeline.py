@@ -21,8 +21,9 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others keep their whole text."""
-    return quality_rules(docs, with_text=False).where("kept").select(*COLUMNS)
+    """Rejected documents go, and of the others the lines that fail."""
+    judged = quality_rules(docs, keep_cols=[c for c in COLUMNS if c not in ("text", "n_chars")])
+    return _sized(judged.where("kept").withColumnRenamed("clean_text", "text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

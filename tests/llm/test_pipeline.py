@@ -51,3 +51,13 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert sizes == want and len(want) < len(rows) - 5
     assert len({r["sequence_id"] for r in got}) <= -(-sum(want.values()) // 2048) + 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "pii", "packing"]
+
+
+def test_quality_stage_drops_failing_lines(spark):
+    good = words(np.random.default_rng(5), 80, 5000) + "."
+    rows = [(1, good + "\nAll rights reserved.\n" + good[::-1]), (2, good), (3, "Home | News | About\n" + good), (4, "All rights reserved."), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_stage(spark, df, "")
+    assert tuple(got.columns) == corpus_pipeline.COLUMNS and got.schema == df.schema
+    want = {1: good + "\n" + good[::-1], 2: good, 3: good}
+    assert {r["doc_id"]: (r["text"], r["n_chars"], r["lang"], r["source"]) for r in got.collect()} == {i: (t, len(t), "en", "src0") for i, t in want.items()}
