@@ -12,10 +12,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cubewright.llm.common import batches_of
-
-#: Units of up to so many characters are remembered, so many of them in each Python worker.
-CACHE_CHARS, CACHE_UNITS = 48, 400_000
+from cubewright.llm.common import batches_of, map_arrow, sized_batches
+
+#: Units of up to so many characters are remembered, in about so many bytes of each Python worker
+#: and until its task ends. What a unit takes beside its characters and ids is UNIT_BYTES.
+CACHE_CHARS, CACHE_BYTES, UNIT_BYTES = 48, 32 << 20, 190
+#: Texts are coded together up to so many bytes, which bounds the scratch memory; a longer text
+#: goes in parts, cut where the pattern's matches part.
+BATCH_BYTES = 2 << 20
 #: Text is cut, for remembering, at single spaces between two characters that aren't white space.
 #: The pattern's matches never reach over such a space but start with it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -75,29 +79,54 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file's lines of base64 token and rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class TokenTable:
+    """The bytes of each id, which is all that decoding takes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if len(ids) > BATCH_BYTES:
+            return b"".join(self.decode(ids[lo : lo + BATCH_BYTES]) for lo in range(0, len(ids), BATCH_BYTES))
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - n), n)
+        return self.bytes[at].tobytes()
+
+
+@lru_cache(maxsize=2)
+def token_table(path: str) -> TokenTable:
+    return TokenTable(read_ranks(path))
+
+
 class Bpe:
-    """Encoder and decoder of one rank file (lines of base64 token and rank) and split pattern."""
+    """Encoder and decoder of one rank file and split pattern."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.ranks = ranks
+        self.ranks = ranks = read_ranks(path)
+        self.table = token_table(path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         #: Stands after each piece; pairs with nothing.
-        self.stop = len(self.tokens)
+        self.stop = len(self.table.lengths)
         # Every pair of tokens whose union is a token, sorted, and that union's rank.
         found = [(ranks[t[:i]] * (self.stop + 1) + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         found.sort()
         self.pair_keys, self.pair_ranks = np.array(found, np.int64).reshape(-1, 2).T.copy()
         self.find = regex.compile(pattern).findall
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.forget()
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each two neighbours' union, or -1."""
@@ -187,7 +216,21 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        first, rest = self.first, self.rest
+        out: list[bytes] = []
+        for t in texts if any(len(t) > BATCH_BYTES for t in texts) else ():
+            at, parts = 0, []
+            while at < len(t):
+                # At such a space a match begins; what follows it is coded as any unit but the first.
+                cut = _CUT.search(t, at + BATCH_BYTES)
+                end = cut.start() if cut else len(t)
+                parts += self._encode([t[at:end]], at > 0)
+                at = end + 1
+            out.append(b"".join(parts))
+        return out or self._encode(texts)
+
+    def _encode(self, texts: list[str], inner: bool = False) -> list[bytes]:
+        """inner: the texts come after a space that a match begins with."""
+        first, rest = self.rest if inner else self.first, self.rest
         heads, others = set(), set()
         for t in texts:
             units = t.split(" ")
@@ -208,13 +251,16 @@ class Bpe:
                 others.update(units[1:])
             others.difference_update(rest)
             heads.difference_update(first)
+        if inner:
+            others |= heads
+            heads = set()
         heads, others = list(heads), list(others)
         find = self.find
         splits = [find(u) for u in heads] + [find(" " + u) for u in others]
         pieces = list({p for s in splits for p in s})
         got = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True)).__getitem__
         coded = [got(s[0]) if len(s) == 1 else b"".join(map(got, s)) for s in splits]
-        first.update(zip(heads, coded[: len(heads)], strict=True))
+        self.first.update(zip(heads, coded[: len(heads)], strict=True))
         rest.update(zip(others, coded[len(heads) :], strict=True))
         out = []
         for t in texts:
@@ -222,25 +268,27 @@ class Bpe:
             head = first[units[0]]
             del units[0]
             out.append(head + b"".join(map(rest.__getitem__, units)))
-        for cache, fresh, most in ((first, heads, CACHE_UNITS // 8), (rest, others, CACHE_UNITS)):
-            room = len(fresh) - (len(cache) - most)
-            for i, u in enumerate(fresh):
-                if i >= room or len(u) > CACHE_CHARS or (odd and _edgy(u)):
+        for cache, fresh in ((self.first, heads), (rest, others)):
+            for u in fresh:
+                size = UNIT_BYTES + len(u) + len(cache[u])
+                if len(u) > CACHE_CHARS or (odd and _edgy(u)) or self.held + size > CACHE_BYTES:
                     del cache[u]
+                else:
+                    self.held += size
         return out
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.held = 0
+        self.first, self.rest = {}, {}
+
     @staticmethod
     def _careful(text: str) -> list[str]:
         units = text.split(" ")
         return _CUT.split(text) if any(map(_edgy, units)) else units
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - n), n)
-        return self.bytes[at].tobytes()
+        return self.table.decode(ids)
 
 
 @lru_cache(maxsize=2)
@@ -248,42 +296,57 @@ def bpe(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_cols: list[str] | None = None) -> DataFrame:
+def _forget(path: str, pattern: str) -> None:
+    bpe(path, pattern).forget()
+
+
+def _ids_of(coder: Bpe, texts: pa.Array) -> tuple[list[bytes], pa.ListArray]:
+    parts = coder.encode([t or "" for t in texts.to_pylist()])
+    off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+    return parts, pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def bpe_encode(
+    df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep_cols: list[str] | None = None, decoded_col: str | None = None
+) -> DataFrame:
     """Adds ids_col (array<int>): text_col's ids by the rank file at path, each match of pattern by itself.
 
-    Keeps keep_cols (default: all columns); a column called ids_col is replaced. A null text
+    With decoded_col, adds the bytes (binary) that the ids decode to as well, in the same pass.
+    Keeps keep_cols (default: all columns); columns of the added names are replaced. A null text
     counts as empty and gives an empty array. Repeated rows are encoded each; an empty table
-    gives an empty result. path must be there on every executor.
+    gives an empty result. A very long text is coded in parts. path must be there on every
+    executor.
     """
-    keep = [c for c in (df.columns if keep_cols is None else keep_cols) if c != ids_col]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    added = [ids_col] + ([decoded_col] if decoded_col else [])
+    keep = [c for c in (df.columns if keep_cols is None else keep_cols) if c not in added]
+    kinds = [T.ArrayType(T.IntegerType(), False), T.BinaryType()]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, k) for c, k in zip(added, kinds, strict=False)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
-        for b in batches_of(it, 2000):
-            parts = coder.encode([t or "" for t in b.column(len(keep)).to_pylist()])
-            off = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [ids], [*keep, ids_col])
+        for b in sized_batches(it, len(keep), BATCH_BYTES):
+            parts, ids = _ids_of(coder, b.column(len(keep)))
+            more = [pa.array([coder.decode(np.frombuffer(p, np.int32)) for p in parts], pa.binary())] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], ids, *more], schema.names)
 
-    return df.select(*keep, F.col(text_col).alias("_bpe_text")).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, F.col(text_col).alias("_bpe_text")), run, schema, lambda: _forget(path, pattern))
 
 
-def bpe_decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_cols: list[str] | None = None) -> DataFrame:
-    """Adds bytes_col (binary): the bytes that ids_col's ids stand for.
+def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_cols: list[str] | None = None) -> DataFrame:
+    """Adds bytes_col (binary): the bytes that ids_col's ids stand for in the rank file at path.
 
     Keeps keep_cols (default: all columns); a column called bytes_col is replaced. Null ids give
-    empty bytes; ids outside of the rank file fail the task.
+    empty bytes; ids outside of the rank file fail the task. An empty table gives an empty result.
     """
     keep = [c for c in (df.columns if keep_cols is None else keep_cols) if c != bytes_col]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(bytes_col, T.BinaryType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, pattern)
+        table = token_table(path)
         for b in batches_of(it, 1000):
             col = b.column(len(keep))
             off, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            out = [coder.decode(flat[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
+            out = [table.decode(flat[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(out, pa.binary())], [*keep, bytes_col])
 
-    return df.select(*keep, F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("_bpe_ids")).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("_bpe_ids")), run, schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes that separate words and that line keys are stripped of.
@@ -23,21 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    local one and any other an error, since executors wouldn't see one another's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "cubewright-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Paths of the staged tables that are still there, in order.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _STAGED:
+            _STAGED.remove(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, and the shuffle files of plans that are gone."""
+    for t in tables:
+        _delete(t.sparkSession, [t.staged_path])
+    if tables:
+        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -46,11 +75,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes this application's staged tables; call it once their results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def staged_paths() -> list[str]:
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, keep: tuple[str, ...] | list[str] = ()) -> None:
+    """Deletes staged tables, but those at the paths to keep; call it once what reads them is written."""
+    _delete(spark, [p for p in _STAGED if p not in keep])
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema, at_end: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema), after each task of which its Python worker, which others use
+    next, calls at_end and gives memory back."""
+
+    def tidy(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            if at_end is not None:
+                at_end()
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -64,14 +118,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    last = mark(e)
+    old, last = e, mark(e)
     while last[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = staged(e.select("x.u", "x.v").where("u <> v").distinct(), name)
+        before, e = old, staged(e.select("x.u", "x.v").where("u <> v").distinct(), name)
+        old = e
+        unstage(before)
         now = mark(e)
         if now == last:
             break
@@ -182,3 +238,14 @@ def batches_of(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Re
     for b in it:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+
+
+def sized_batches(it: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches with about size bytes of text in a string column, at least one row each."""
+    for b in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi

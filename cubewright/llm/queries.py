@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cubewright.llm.bpe import bpe_decode, bpe_encode
+from cubewright.llm.bpe import bpe_encode
 from cubewright.llm.chat import format_chat, read_chat_digests, text_part
 from cubewright.llm.chunk_dedup import dedup_substrings
 from cubewright.llm.common import table
@@ -121,9 +121,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, keep_cols=["doc_id"])
-    coded = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    return bpe_decode(coded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe_encode(table(spark, sf_dir, "documents"), path, pattern, keep_cols=["doc_id"], decoded_col="decoded")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,11 +257,33 @@ def test_bpe_matches_tiktoken_and_decodes(spark):
         assert np.frombuffer(code, np.int32).tolist() == ref.encode_ordinary(t)
     rows = [(1, None), (2, ""), (3, "Hello  wörld"), (3, "Hello  wörld")]
     coded = bpe_encode(docs(spark, rows).withColumn("ids", F.lit("clash")), path, pattern)
-    back = bpe_decode(coded, path, pattern).collect()
-    assert sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in back) == [(1, ""), (2, ""), (3, "Hello  wörld"), (3, "Hello  wörld")]
+    at_once = bpe_encode(docs(spark, rows).withColumn("decoded", F.lit("clash")), path, pattern, decoded_col="decoded")
+    for back in (bpe_decode(coded, path), at_once):
+        assert sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in back.collect()) == [(1, ""), (2, ""), (3, "Hello  wörld"), (3, "Hello  wörld")]
     assert bpe_encode(docs(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_codes_long_texts_in_parts(monkeypatch):
+    import tiktoken
+
+    import cubewright.llm.bpe as m
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    monkeypatch.setattr(m, "BATCH_BYTES", 40)
+    monkeypatch.setattr(m, "CACHE_BYTES", 4000)
+    coder = Bpe(path, pattern)
+    ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = np.random.default_rng(17)
+    bits = [" ", "  ", "\n", "\t ", "a", "the", "ing", "'s", "é", "12", "!", " word", "日本", "😀", "x" * 50]
+    texts = ["".join(bits[int(k)] for k in rng.integers(0, len(bits), rng.integers(0, 90))) for _ in range(600)]
+    for t, code in zip(texts, coder.encode(texts), strict=True):
+        ids = np.frombuffer(code, np.int32)
+        assert ids.tolist() == ref.encode_ordinary(t) and coder.decode(ids).decode() == t
+    assert coder.held <= 4000
+    coder.forget()
+    assert not coder.first and not coder.rest
+
+
 # HTML
 
 
