@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from cubewright.llm.common import Words, batches_of, connected_components, groups, mix, release, staged
+from cubewright.llm.common import Words, batches_of, connected_components, groups, map_arrow, mix, release, staged, unstage
 
 #: Size bands grow by this factor, in tenths.
 BAND_TENTHS = 15
@@ -19,6 +20,9 @@ PARTS = 3
 ORDERS = 2
 #: So many of a document's signatures go along with each of its rows when components face each other.
 LOW_SIGS = 8
+#: The size bands are dealt into so many slices of about as many signatures. Buckets never span
+#: bands, so one slice after the other is shuffled, and its files go before the next.
+SLICES = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MASK = 2**64 - 1
 
@@ -54,8 +58,11 @@ class Shingles:
                 more = c[short] > j
                 whole[more] = mix(whole[more] * np.uint64(0xC2B2AE3D27D4EB4F) + w.hash[first[more] + j])
             doc, h = np.concatenate((doc, short)), np.concatenate((h, whole))
-        order = np.lexsort((h, doc))
+        order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
+        edges = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            h[lo:hi].sort()
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         self.values, self.limits = h[keep], np.searchsorted(doc[keep], np.arange(n + 1))
@@ -67,8 +74,15 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], threshold_pct: int) -> np.ndarray:
-    """The PartEnum signatures of one set (sorted, distinct 64-bit values).
+def first_parts(k: int) -> tuple[int, int]:
+    """Parts of the first level of a band with difference k, and how many of them are spare."""
+    need = k // 2 + 1
+    spare = 0 if need < 4 else 1 + need // 20
+    return need + spare, spare
+
+
+def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], threshold_pct: int, only: frozenset[int] | None = None) -> np.ndarray:
+    """The PartEnum signatures of one set (sorted, distinct 64-bit values), in all bands or some.
 
     The domain is cut into parts, each of PARTS smaller ones. A pair with a difference of at most
     k differs in at most one element, and so in one smaller part, in all but k // 2 parts. Each
@@ -85,11 +99,9 @@ def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], thresh
     for b, (least, largest, k) in enumerate(band_list):
         if n < least:
             break
-        if k == 0 or 100 * largest < threshold_pct * n:
+        if k == 0 or 100 * largest < threshold_pct * n or (only is not None and b not in only):
             continue
-        need = k // 2 + 1
-        spare = 0 if need < 4 else 1 + need // 20
-        n1 = need + spare
+        n1, spare = first_parts(k)
         edges = (np.arange(1, n1 * PARTS, dtype=np.float64) * (2.0**64 / (n1 * PARTS))).astype(np.uint64)
         at = np.concatenate(([0], np.searchsorted(values, edges), [n]))
         hashed = mix(values + np.uint64((b + 1) * int(_GOLD) & _MASK))
@@ -115,8 +127,28 @@ def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], thresh
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _pairs_from(it: Iterator[pa.RecordBatch], size: int, band_list: list, pct: int) -> Iterator[pa.RecordBatch]:
-    """(sig, id) rows; of equal sets in one batch only the first gives signatures."""
+def band_slices(sets: DataFrame, band_list: list[tuple[int, int, int]], pct: int) -> list[frozenset[int]]:
+    """The bands' numbers in SLICES groups with about as many signatures each; one row goes to the driver."""
+    n = F.col("n_shingles")
+    held = [F.count_if((n >= least) & (100 * largest >= pct * n)) for least, largest, _ in band_list]
+    counts = sets.agg(*held).first() if band_list else ()
+    work = {b: c * first_parts(k)[0] * PARTS for b, (c, (_, _, k)) in enumerate(zip(counts, band_list, strict=True)) if k}
+    out, load = [set() for _ in range(SLICES)], [0] * SLICES
+    for b in sorted(work, key=lambda b: (-work[b], b)):
+        i = load.index(min(load))
+        out[i].add(b)
+        load[i] += work[b]
+    return [frozenset(x) for x in out if x]
+
+
+def _signature_rows(it: Iterator[pa.RecordBatch], size: int, band_list: list, pct: int, only: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """(key, id, sig, centre) of the signatures in some bands, combined within each batch.
+
+    Of equal sets in one batch only the first gives signatures. Where several sets of a batch have
+    a signature, one of them is their centre and goes on under the signature's key to meet other
+    batches, with sig set; the others keep it as their centre and have a key of their own. So a
+    signature, however frequent, has no more rows under its key than there are batches.
+    """
     for b in batches_of(it):
         ids = b.column(0).to_numpy(zero_copy_only=False)
         seen, sig, row = set(), [], []
@@ -127,11 +159,36 @@ def _pairs_from(it: Iterator[pa.RecordBatch], size: int, band_list: list, pct: i
                 if not len(v) or (key := set_digest(v)) in seen:
                     continue
                 seen.add(key)
-                got = signatures(v, band_list, pct)
+                got = signatures(v, band_list, pct, only)
                 sig.append(got)
                 row.append(np.full(len(got), ids[lo + i]))
-        if sig:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(row).astype(np.int64))], ["sig", "id"])
+        if not sig:
+            continue
+        sig, row = np.concatenate(sig), np.concatenate(row).astype(np.int64)
+        order = mix(row.view(np.uint64) + (sig % np.uint64(ORDERS)) * _GOLD)
+        at = np.lexsort((order, sig))
+        sig, row = sig[at], row[at]
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        starts = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        centre = row[starts][group]
+        shared = np.diff(np.append(starts, len(sig)))[group] > 1
+        key = np.where(first, sig, mix(sig + row.view(np.uint64) * _GOLD))
+        back = np.empty(len(at), np.int64)  # a document's rows stay together, which packs better
+        back[at] = np.arange(len(at))
+        key, row, sig, centre, shared, first = (x[back] for x in (key, row, sig, centre, shared, first))
+        cols = [pa.array(key.view(np.int64)), pa.array(row), pa.array(sig.view(np.int64), mask=~shared), pa.array(centre, mask=first)]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "id", "sig", "centre"])
+
+
+def _bucket_rows(rows: DataFrame) -> DataFrame:
+    """(sig, id, centre) of the buckets with two members or more, from (key, id, sig, centre)."""
+    by_key = Window.partitionBy("key")
+    order = F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
+    held = rows.select("*", F.struct(order.alias("o"), F.col("id").alias("i")).alias("x"))
+    held = held.select("key", "id", "sig", F.coalesce("centre", F.min("x").over(by_key)["i"]).alias("centre"), F.count("*").over(by_key).alias("n"))
+    return held.where("n > 1 or sig is not null").select(F.coalesce("sig", "key").alias("sig"), "id", "centre")
 
 
 #: Longs of the parity sketch: a set's elements flip its bits, so two sketches differ in no more
@@ -159,32 +216,30 @@ def wide_sketch(values: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch, a wide one as bytes)."""
+    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch)."""
     names = ["id", "n_shingles", "d1", "d2", *SKETCH_COLS]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
-            n, d, sketch, wide = [], [], [], []
+            n, d, sketch = [], [], []
             for _, w in groups(b.column(1), lower=True):
                 s = Shingles(w, size)
                 n.append(np.diff(s.limits))
-                sets = [s.values[lo:hi] for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
-                d += map(set_digest, sets)
-                wide += map(wide_sketch, sets)
+                d += [set_digest(s.values[lo:hi]) for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
                 sketch.append(sketches(s))
             sketch = np.concatenate(sketch)
             cols = [np.concatenate(n), *np.array(d, np.int64).reshape(-1, 2).T, *sketch.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols), pa.array(wide, pa.binary())], [*names, "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols)], names)
 
-    return docs.mapInArrow(run, T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("wide", T.BinaryType())]))
+    return map_arrow(docs, run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
 
 
 #: Bits of the filter of wanted ids: it is of this size at any scale, and only spares work.
 FILTER_BITS = 1 << 25
 
 
-def shingle_values(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, shingles: sorted 64-bit values as bytes) of the wanted ids and, by chance, few others.
+def _of_wanted(docs: DataFrame, wanted: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run over batches of docs(id, text) of the wanted ids and, by chance, few others.
 
     A bitmap of hashed ids, of fixed size, goes to the tasks that read the texts, so that neither
     texts nor the sets of other documents are shuffled. If the ids fill it, it lets more pass.
@@ -198,20 +253,30 @@ def shingle_values(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap)
     tested = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("h"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def those(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in batches_of(it):
+        for b in it:
             h = b.column(2).to_numpy()
-            b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            yield b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1)).select(["id", "text"])
+
+    return map_arrow(tested, lambda it: run(those(it)), schema)
+
+
+def shingle_values(docs: DataFrame, wanted: DataFrame, size: int, of_set: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+    """(id, n_shingles, shingles: what of_set makes of a set's sorted 64-bit values) of the wanted
+    ids' sets that aren't empty and, by chance, few others."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it):
             ids = b.column(0).to_pylist()
             for lo, w in groups(b.column(1), lower=True):
                 s = Shingles(w, size)
                 parts = [s.values[x:y] for x, y in zip(s.limits[:-1], s.limits[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo : lo + len(parts)], pa.int64()), pa.array(np.diff(s.limits)), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "n_shingles", "shingles"]
+                    [pa.array(ids[lo : lo + len(parts)], pa.int64()), pa.array(np.diff(s.limits)), pa.array([of_set(p) for p in parts], pa.binary())], ["id", "n_shingles", "shingles"]
                 )
 
-    return tested.mapInArrow(run, "id long, n_shingles long, shingles binary").where("n_shingles > 0")
+    return _of_wanted(docs, wanted, run, "id long, n_shingles long, shingles binary").where("n_shingles > 0")
 
 
 def _may_link(one: str, two: str, pct: int) -> Column:
@@ -221,7 +286,7 @@ def _may_link(one: str, two: str, pct: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * pct) & (differ * (100 + pct) <= (na + nb) * (100 - pct))
 
 
-def _widely_sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _widely_sketched(pairs: DataFrame, wide: DataFrame, pct: int) -> DataFrame:
     """Of pairs(a, b), those whose wide sketches let them link."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +301,10 @@ def _widely_sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 keep.append(int(np.bitwise_count(x ^ y).sum()) * (100 + pct) <= both * (100 - pct))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("wa"))
-    two = sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("wb"))
+    one = wide.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("wa"))
+    two = wide.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("wb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "wa", "wb")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(both, run, "a long, b long").distinct()
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -271,7 +336,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct)
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return map_arrow(pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "sa", "sb"), run, schema)
 
 
 def ngram_jaccard_components(
@@ -284,16 +349,19 @@ def ngram_jaccard_components(
     100 * intersection >= threshold_pct * union; component_id is the smallest id reachable by
     links, the row's own included.
 
-    Equal sets are found by digest and stand as one. The others meet by PartEnum signatures,
-    which every pair at the threshold shares. Members of one bucket first face one centre; what
-    that links is one component. Only pairs of a bucket that lie in different components then
-    face each other, so that a group of near copies costs a few pairs a member. Pairs count
-    after an exact comparison of their sets.
+    Equal sets are found by digest and one of them stands for all; as long as the filter of their
+    ids isn't full, only that one gives signatures. By PartEnum signatures every pair at the
+    threshold meets in a bucket. Its members first face one centre; what that links is one
+    component. Only pairs of a bucket that lie in different components then face each other, so
+    that a group of near copies costs a few pairs a member. Pairs count after an exact comparison
+    of their sets.
 
     A null or wordless text has no shingles and links with nothing. Rows with a null id come
     back with a null component and link nothing. Rows that repeat an id count as one document
-    with the sets of each. An empty table gives an empty result.
+    with the sets of each. Other columns play no part, whatever their names. An empty table gives
+    an empty result. df must give the same rows each time it is read.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = staged(shingle_sets(docs, shingle_words), "sets")
     most = sets.agg(F.max("n_shingles")).first()[0] or 0
@@ -303,51 +371,62 @@ def ngram_jaccard_components(
     rep_of = staged(some.join(reps, ["d1", "d2"]).select("id", "rep").distinct(), "rep-of")
     band_list = bands(threshold_pct, most)
     known = docs.where("id is not null and text is not null")
-    rows = known.mapInArrow(lambda it: _pairs_from(it, shingle_words, band_list, threshold_pct), "sig long, id long")
-    # A bucket's members, each with a centre; buckets of one member go.
-    by_sig = Window.partitionBy("sig")
-    order = F.xxhash64("id", F.pmod("sig", F.lit(ORDERS)))
-    held = rows.select("sig", "id", F.struct(order.alias("o"), F.col("id").alias("i")).alias("x"))
-    held = held.select("sig", "id", F.min("x").over(by_sig)["i"].alias("centre"), F.count("*").over(by_sig).alias("n"))
-    buckets = staged(held.where("n > 1").select("sig", "id", "centre"), "buckets")
-    del held
-    release(docs.sparkSession)
+    rep_ids = reps.select(F.col("rep").alias("id"))
+    slices = []
+    for only in band_slices(some.join(rep_ids.distinct(), "id", "left_semi"), band_list, threshold_pct):
+        rows = _of_wanted(known, rep_ids, lambda it, only=only: _signature_rows(it, shingle_words, band_list, threshold_pct, only), "key long, id long, sig long, centre long")
+        slices.append(staged(_bucket_rows(rows), "buckets"))
+        del rows
+        release(spark)
+    unstage(reps)
+    buckets = reduce(DataFrame.union, slices) if slices else spark.createDataFrame([], "sig long, id long, centre long")
     stars = buckets.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     stars = staged(_sketched(stars, some, threshold_pct).distinct(), "stars")
 
-    def narrowed(pairs: DataFrame, name: str) -> DataFrame:
-        return staged(_widely_sketched(pairs, some, threshold_pct), name)
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of pairs that link: wide sketches first, then the sets of what they leave."""
 
-    same = rep_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        def values(of: DataFrame, *how: Callable) -> DataFrame:
+            return staged(shingle_values(known, of.select(F.explode(F.array("a", "b")).alias("id")), shingle_words, *how), f"{name}-values")
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        values = staged(shingle_values(known, ends, shingle_words), f"{name}-values")
-        return staged(_verified(pairs, values, threshold_pct), name)
-
-    links = same.union(check(narrowed(stars, "near-stars"), "links"))
-    comp = staged(connected_components(links), "components")
-    release(docs.sparkSession)
-    # Buckets that still hold several components: their pairs across components.
-    label = buckets.join(comp, buckets["id"] == comp["node"], "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-    label = label.select("*", F.min("c").over(by_sig).alias("lo"), F.max("c").over(by_sig).alias("hi")).where("lo < hi")
+        wide = values(pairs, wide_sketch)
+        near = staged(_widely_sketched(pairs, wide, threshold_pct), f"{name}-near")
+        unstage(wide)
+        whole = values(near)
+        out = staged(_verified(near, whole, threshold_pct), name)
+        unstage(near, whole)
+        return out
+
+    linked = check(stars, "links")
+    same = rep_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    comp = staged(connected_components(same.union(linked)), "components")
+    unstage(linked)
+    # Buckets that still hold several components: their pairs across components. Two aggregates of
+    # a bucket's labels tell which, and a join brings those back, so that none meets in one task.
+    label = staged(buckets.join(comp, buckets["id"] == comp["node"], "left").select("sig", "id", F.coalesce("component", "id").alias("c")), "labels")
+    unstage(*slices)
+    mixed = label.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     # Each row carries the least of its document's open signatures: a pair is left to the bucket of
     # a smaller signature where both have one among these, so that it is seldom made twice.
-    mine = label.groupBy("id", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    mine = label.join(mixed, "sig").groupBy("id", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
     sketch = some.select(F.col("id").alias("_s"), F.col("n_shingles").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH_COLS])
     mine = mine.join(sketch, mine["id"] == sketch["_s"]).withColumn("low_a", F.slice("sigs", 1, LOW_SIGS))
     wide = ["n_a", *[f"{c}_a" for c in SKETCH_COLS], "low_a"]
     open_ = staged(mine.select(F.explode("sigs").alias("sig"), "c", F.col("id").alias("a"), *wide), "open")
+    unstage(label)
     other = open_.select("sig", F.col("c").alias("cb"), F.col("a").alias("b"), *[F.col(c).alias(f"{c[:-1]}b") for c in wide])
     apart = (F.col("one.sig") == F.col("two.sig")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & _may_link("_a", "_b", threshold_pct)
     apart = apart & (F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")), F.col("one.sig")) >= F.col("one.sig"))
     cross = open_.alias("one").join(other.alias("two"), apart).select("a", "b").distinct()
-    late = check(narrowed(cross.join(stars, ["a", "b"], "left_anti"), "near-cross"), "late-links")
+    cross = staged(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    unstage(open_, stars)
+    late = check(cross, "late-links")
     # Links found late join components.
     ends = late.select("a", "b")
     for side in ("a", "b"):
         ends = ends.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(side, F.coalesce(f"c{side}", side)).select("a", "b")
     merged = connected_components(ends, "cc-late").select(F.col("node").alias("_c"), F.col("component").alias("_to"))
+    unstage(late, cross)
     final = comp.union(rep_of.join(comp, rep_of["id"] == comp["node"], "left_anti").select("id", "id"))
     final = final.join(merged, F.col("component") == F.col("_c"), "left").select(F.col("node").alias("_n"), F.coalesce("_to", "component").alias("_component"))
     out = sets.select("id", "n_shingles").join(final.distinct(), F.col("id") == F.col("_n"), "left")
