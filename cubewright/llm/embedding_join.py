@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cubewright.llm.common import connected_components, staged
+from cubewright.llm.common import connected_components, map_arrow, staged, unstage
 
 #: Principal dimensions of the grid and of the blocks' boxes; of these so many make the join key.
 GRID_DIMS, KEY_DIMS = 6, 3
@@ -34,7 +35,7 @@ def _principal(vectors: DataFrame, dim: int) -> np.ndarray:
         values = np.concatenate(([n], total, product[upper]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["k", "v"])
 
-    rows = vectors.select("embedding").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = map_arrow(vectors.select("embedding"), run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     values = np.zeros(1 + dim + len(upper[0]))
     for r in rows:
         values[r["k"]] = r["v"]
@@ -134,12 +135,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     n_links counts the other rows at a cosine of at least least_cosine, in double precision;
     component_id is the smallest id reachable by such links, the row's own included; kept says
-    that it is the row's own. Vectors that are null, empty or zero, hold a null or non-finite
-    component, or have another length than most (of lengths as frequent: the smaller) link with
-    nothing. Rows that repeat an id count as vectors of their own. A null id links nothing and
-    has a null component. An empty table gives an empty result.
-
-    Equal vectors stand as one with a weight. The others are put in epsilon grid order: sorted by
+    that it is the row's own. Vectors that are null, empty or zero or hold a null or non-finite
+    component link with nothing, and those of one length only among themselves. Pairs at exactly
+    least_cosine link. Rows that repeat an id count as vectors of their own. A null id links
+    nothing and has a null component. Other columns play no part, whatever their names. An empty
+    table gives an empty result.
+
+    Equal vectors stand as one with a weight. Each length is joined by itself, one after the
+    other. Vectors are put in epsilon grid order: sorted by
     grid cells, as wide as the threshold's distance, on the leading principal dimensions of all
     vectors. The sequence is cut into blocks; pairs of blocks meet whose cells are neighbours and
     whose boxes are near enough, and each pair joins its intervals recursively, skipping halves
@@ -148,15 +151,27 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
     fine = F.col("id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    sized = rows.where(fine).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     digest = (F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
-    keyed = rows.select("id", F.when(fine & (F.size("embedding") == (sized["d"] if sized else 0)), F.struct(digest[0].alias("a"), digest[1].alias("b"))).alias("k"), "embedding")
-    if sized is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    dim = sized["d"]
-    width_of = np.dtype("<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8")  # blocks hold vectors as they came
+    keyed = rows.select("id", F.when(fine, F.struct(F.size("embedding").alias("d"), digest[0].alias("a"), digest[1].alias("b"))).alias("k"), "embedding")
     reps = keyed.where("k is not null").groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
     reps = staged(reps.select("k", "rep", "weight", "embedding"), "vectors")
+    lengths = sorted(r[0] for r in reps.select("k.d").distinct().collect())
+    width_of = np.dtype("<f4" if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else "<f8")  # blocks hold vectors as they came
+    links = [_links(reps.where(F.col("k.d") == d), d, width_of, least_cosine) for d in lengths]
+    found = reduce(DataFrame.union, links) if links else spark.createDataFrame([], "rep long, n long, root long")
+    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
+    per_rep = reps.select("k", "rep", "weight").join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    per_rep = staged(per_rep.select("k", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "per-vector")
+    unstage(reps, *links)
+    out = keyed.select("id", "k").join(per_rep, "k", "left")
+    label = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(False)).alias("kept"))
+
+
+def _links(reps: DataFrame, dim: int, width_of: np.dtype, least_cosine: float) -> DataFrame:
+    """(rep, n, root), staged, of distinct vectors(rep, weight, embedding) of one length: the linked
+    weights that a pair of blocks finds for a vector, and a tree edge to another vector linked with it."""
     basis, width = _principal(reps, dim), float(np.sqrt(2 - 2 * least_cosine) + 1e-9)
     dims = basis.shape[1]
     cells = [f"c{i}" for i in range(dims)]
@@ -167,7 +182,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             y = np.floor(_unit(b.column(2), dim) @ basis / width).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(y[:, i].copy()) for i in range(dims)]], cell_schema.names)
 
-    placed = reps.select("rep", "weight", "embedding").mapInArrow(to_cells, cell_schema)
+    placed = map_arrow(reps.select("rep", "weight", "embedding"), to_cells, cell_schema)
     n_parts = reps.count() // BLOCK + 1
     ordered = placed.repartitionByRange(n_parts, *cells, "rep").sortWithinPartitions(*cells, "rep")
     ordered = ordered.coalesce(n_parts)  # neighbours go together, should there be more partitions than blocks
@@ -200,7 +215,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         if count:
             yield from flush(count)
 
-    blocks = staged(ordered.mapInArrow(to_blocks, block_schema), "blocks")
+    blocks = staged(map_arrow(ordered, to_blocks, block_schema), "blocks")
     meta = blocks.select("block", "lo", "hi", F.explode("keys").alias("key"))
     steps = F.array(*[F.lit(x) for x in (-1, 0, 1)])
     near = meta.select("block", "lo", "hi", F.split("key", ",").cast("array<int>").alias("c"))
@@ -237,11 +252,6 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 root = every[np.array([job.find(x) for x in some.tolist()], np.int64)] if len(some) else every[:0]
                 yield pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(n[some]), pa.array(root)], ["rep", "n", "root"])
 
-    found = staged(joined.mapInArrow(links, "rep long, n long, root long"), "vector-links")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
-    per_rep = reps.select("k", "rep", "weight").join(counts, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    per_rep = staged(per_rep.select("k", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "per-vector")
-    out = keyed.select("id", "k").join(per_rep, "k", "left")
-    label = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(False)).alias("kept"))
+    found = staged(map_arrow(joined, links, "rep long, n long, root long"), "vector-links")
+    unstage(blocks)
+    return found
