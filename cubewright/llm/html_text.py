@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cubewright.llm.common import batches_of
+from cubewright.llm.common import batches_of, map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text for the parser, up to their end tag.
@@ -79,6 +79,29 @@ def _furniture(attrs: str) -> int:
     return found
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that the innermost one of some tags is
+    found without walking the stack; however deep a page nests, a tag costs no more."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#page"]
+        self.places: dict[str, list[int]] = {"#page": [0]}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def innermost(self, tags: frozenset[str] | tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        for t in self.tags[place:]:
+            self.places[t].pop()
+        del self.nodes[place:], self.tags[place:]
+
+
 class Page:
     """A page's DOM as parallel lists, parents before children.
 
@@ -90,7 +113,8 @@ class Page:
         self.tag, self.parent, self.dropped, self.linked = ["#page"], [-1], [False], [False]
         self.runs: list[tuple[int, str | None]] = []
         self.mark = [0]
-        stack, at, n = [0], 0, len(source)
+        open_, at, n = _Open(), 0, len(source)
+        stack = open_.nodes
         last_end = source.rfind(">")
         tag, parent, dropped = self.tag, self.parent, self.dropped
 
@@ -117,28 +141,21 @@ class Page:
                 continue
             name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if tag[stack[k]] in _SCOPE and name not in _SCOPE:
-                        break
+                k = open_.innermost((name,))
+                if k and (name in _SCOPE or k > open_.innermost(_SCOPE)):
+                    open_.close(k)
                 continue
             if name in _P_CLOSERS or name in _IMPLIED:
                 closes, stops = _IMPLIED.get(name, (frozenset({"p"}), frozenset("article section div td th li body main".split())))
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] in closes:
-                        del stack[k:]
-                        break
-                    if tag[stack[k]] in stops:
-                        break
+                if (k := open_.innermost(closes)) and k > open_.innermost(stops):
+                    open_.close(k)
             here = stack[-1]
             if name in ("br", "hr") and not dropped[here]:
                 self.runs.append((here, None))
             tag.append(name)
             parent.append(here)
             self.linked.append(name == "a" or self.linked[here])
-            inside = any(tag[x] in ("article", "main") for x in stack) if name == "header" else True
+            inside = name != "header" or open_.innermost(("article", "main")) > 0
             lasting = name in ("html", "body", "article", "main")
             gone = dropped[here] or name in DROPPED or not inside or (not lasting and bool(attrs) and _HIDDEN.search(attrs) is not None)
             dropped.append(gone)
@@ -151,7 +168,7 @@ class Page:
                 close = source.find(">", end.end())
                 at = n if close < 0 else close + 1
             elif name not in VOID and not attrs.rstrip().endswith("/"):
-                stack.append(node)
+                open_.push(node, name)
         if any(self.mark):
             self._drop_marked()
 
@@ -324,4 +341,4 @@ def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "te
             texts = pa.array([main_text(x) for x in b.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [texts], schema.names)
 
-    return df.select(*keep, F.col(html_col).alias("_page_source")).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, F.col(html_col).alias("_page_source")), run, schema)
