@@ -15,7 +15,7 @@ from cubewright.llm.line_dedup import dedup_lines
 from cubewright.llm.ngram_join import ngram_jaccard_components
 from cubewright.llm.packing import pack_documents
 from cubewright.llm.pii import BASE, KINDS, find_pii
-from cubewright.llm.quality import quality_rules
+from cubewright.llm.quality import BOILERPLATE, MAX_BOILERPLATE_WORDS, MAX_LOST_PCT, MAX_SYMBOL_PCT, MIN_LETTER_PCT, MIN_OPEN_WORDS, SEPARATORS, SYMBOLS, TERMINAL, quality_rules
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
+    )
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +148,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep_cols=["doc_id"], with_text=False)
 
 
+def _text_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i,
+             unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS k FROM w WHERE len(ws) >= 3),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) o(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+m AS (SELECT doc_id, pos, x, regexp_extract_all(x, '{_WORD}') AS ws, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+             length(regexp_replace(x, '[^{SYMBOLS}]', '', 'g')) AS symbols, length(regexp_replace(x, '[^\pL\pM]', '', 'g')) AS letters,
+             translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM lines),
+f AS (SELECT *, len(list_filter(ws, lambda y: list_contains({_text_list(SEPARATORS)}, y))) AS signs FROM m),
+j AS (SELECT doc_id, pos, x, len(ws) > 0 AS wordy,
+             len(ws) > 0 AND (100 * symbols > {MAX_SYMBOL_PCT} * chars OR 100 * letters < {MIN_LETTER_PCT} * chars
+               OR (len(ws) < {MIN_OPEN_WORDS} AND NOT list_contains({_text_list(TERMINAL)}, right(ws[-1], 1)))
+               OR (signs >= 2 AND 5 * signs >= len(ws))
+               OR (len(ws) < {MAX_BOILERPLATE_WORDS} AND len(list_filter({_text_list(BOILERPLATE)}, lambda p: contains(low, p))) > 0)) AS bad FROM f),
+s AS (SELECT doc_id, count(*) FILTER (WHERE wordy) - count(DISTINCT x) FILTER (WHERE wordy) AS dup,
+             length(coalesce(string_agg(x, chr(10)) FILTER (WHERE NOT bad), '')) AS clean FROM j GROUP BY doc_id),
+b AS (SELECT w.doc_id, w.t, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(w.t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(s.dup AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, s.clean
+      FROM w JOIN s USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * (length(t) - clean) <= {MAX_LOST_PCT} * length(t) AS kept
+FROM v
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_join": OP9_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
