@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cubewright.llm.common import batches_of
+from cubewright.llm.common import map_arrow, sized_batches, staged, unstage
 
 #: Kinds in the order in which spans are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "national_id", "secret", "name")
@@ -33,21 +34,30 @@ _AT = re.compile(r"(?<![\w.])[A-Za-z0-9._-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:
 _NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Don|Doña)\.? ((?:[A-ZÀ-Ý][\w'-]+)(?: [A-ZÀ-Ý][\w'-]+)?)")
 _TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Don", "Doña")
 
-# Gazetteers and contexts, as fixed values.
+# Gazetteers and contexts, as fixed values: first names that are frequent in the corpus's countries,
+# names of streets' and months' kind that look like persons' but aren't, top-level domains, prefixes of keys.
 FIRST_NAMES = frozenset(
     "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen "
-    "Anna Peter Hans Greta Karl Ursula Pierre Marie Jean Claire Luc Sophie Juan Carmen José Lucía Carlos Ana Luis Elena".split()
+    "Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra Mark Margaret Donald Ashley Steven Kimberly Andrew Emily Paul Donna Joshua Michelle "
+    "Anna Peter Hans Greta Karl Ursula Klaus Monika Jürgen Petra Wolfgang Sabine Andreas Renate Stefan Helga Markus Karin Christian Brigitte "
+    "Pierre Marie Jean Claire Luc Sophie Michel Nathalie Philippe Isabelle Alain Sylvie Patrick Catherine Nicolas Martine Laurent Christine Camille Julien "
+    "Juan Carmen José Lucía Carlos Ana Luis Elena Antonio María Manuel Josefa Francisco Isabel Javier Dolores Miguel Pilar Rafael Teresa "
+    "Maria Martin Alexander Laura Simon Julia Sebastian Eva Max Katharina Lucas Emma Leo Mia Hugo Alice Pablo Sofía Diego Paula".split()
 )
-TOP_DOMAINS = frozenset("com org net edu gov io co de fr es uk eu info biz us ca ch at it nl".split())
-KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
+NOT_NAMES = frozenset("Street Road Avenue January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi app dev io ai co me tv cc eu de fr es uk us ca ch at it nl be lu pt ie dk se no fi pl cz sk hu ro bg gr tr ru ua "
+    "cn jp kr in au nz br mx ar cl pe za eg il ae sa sg hk tw th vn id my ph".split()
+)
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "AIza", "ya29.", "eyJ")
 CONTEXT = {
-    0: "mail email e-mail contact write correo courriel kontakt",
-    1: "ip host server address client login",
-    2: "card visa mastercard credit debit karte carte tarjeta payment",
-    3: "phone call tel fax mobile telefon téléphone teléfono cell",
-    4: "ssn social security national id",
-    5: "token key secret password passwd api credential bearer",
-    6: "name dear regards sincerely",
+    0: "mail email e-mail mailto contact contacto write to correo courriel adresse address kontakt",
+    1: "ip ipv4 host server address client login gateway dns ping from",
+    2: "card visa mastercard amex credit debit karte kreditkarte carte bancaire tarjeta payment paid pay number",
+    3: "phone call tel telephone fax mobile mobil handy telefon téléphone portable teléfono móvil cell contact",
+    4: "ssn social security national id ausweis identité dni",
+    5: "token key secret password passwd pwd api apikey credential bearer auth authorization access private",
+    6: "name dear regards sincerely signed by hello bonjour hola lieber liebe cher chère estimado estimada",
 }
 COUNTER_CONTEXT = "version isbn order invoice page chapter total price sum commit sha md5 checksum hash digest doi issn figure table year"
 _CONTEXT = {k: frozenset(v.split()) for k, v in CONTEXT.items()}
@@ -121,7 +131,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             n = len(_DIGIT.findall(m[0]))
             if 10 <= n <= 12:
                 add(3, m.start(), m.end())
-            elif 13 <= n <= 19:
+            elif 13 <= n <= 19 and luhn("".join(_DIGIT.findall(m[0]))):
                 add(2, m.start(), m.end())
     if has_digit and _LONG.search(text):
         for m in _SECRET.finditer(text):
@@ -165,7 +175,7 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
         gazetteer = 1 if s.startswith(KEY_PREFIXES) else 0
     else:
         shape = 1 if " " in s else 0
-        gazetteer = 1 if s.split()[0] in FIRST_NAMES else 0
+        gazetteer = 1 if s.split()[0] in FIRST_NAMES else -1 if NOT_NAMES.intersection(s.split()) else 0
     near = {w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])[-4:]}
     context = 1 if near & _CONTEXT[kind] else -1 if near & _COUNTER else 0
     before, after = text[max(0, start - 1) : start], text[end : end + 1]
@@ -189,86 +199,143 @@ def _decode(code: int) -> tuple[int, list[int], bool]:
     return code, v[::-1], bool(is_base)
 
 
-def fit_labelers(codes: dict[int, int], rounds: int = 60) -> np.ndarray:
-    """EM for two classes over vote patterns and their counts: P(vote | class), shape (2, labeler, 3).
+def fit_labelers(codes: dict[int, int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """EM for two classes over vote patterns and their counts, for each kind by itself.
 
+    Returns P(vote | kind, class), shape (kind, 2, labeler, 3), and each kind's share of true ones.
     Labelers are taken to err independently. Ten pseudo-counts a labeler say that a vote is right
     four times in five, so that few candidates don't overturn them.
     """
     prior = np.zeros((2, len(LABELERS), 3))
     prior[1], prior[0] = (1.0, 3.0, 6.0), (5.0, 3.0, 2.0)
-    like = prior / prior.sum(axis=2, keepdims=True)
-    if not codes:
-        return like
-    pattern = np.array([[x + 1 for x in _decode(c)[1]] for c in codes])
-    weight = np.array(list(codes.values()), float)
-    share, j = 0.5, np.arange(len(LABELERS))
-    for _ in range(rounds):
-        p1, p0 = share * like[1][j, pattern].prod(axis=1), (1 - share) * like[0][j, pattern].prod(axis=1)
-        post = p1 / (p1 + p0)
-        share = min(0.95, max(0.05, (weight @ post + 1) / (weight.sum() + 2)))
-        for c, w in ((1, weight * post), (0, weight * (1 - post))):
-            got = prior[c].copy()
-            np.add.at(got, (j[None, :].repeat(len(pattern), 0), pattern), w[:, None].repeat(len(j), 1))
-            like[c] = got / got.sum(axis=1, keepdims=True)
-    return like
-
-
-def _features(codes: list[int]) -> np.ndarray:
-    rows = []
-    for c in codes:
-        kind, v, _ = _decode(c)
-        one = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-        one[0] = one[1 + kind] = 1
-        for i, x in enumerate(v):
-            one[1 + len(KINDS) + 2 * i] = x > 0
-            one[2 + len(KINDS) + 2 * i] = x < 0
-        rows.append(one)
-    return np.array(rows)
-
-
-def train_classifier(codes: dict[int, int], like: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 0.01) -> np.ndarray:
-    """Weights of a logistic classifier of spans by kind and votes, for the posteriors as soft labels.
-
-    Each candidate's class probability follows from the labelers' fitted reliabilities, at even
-    odds. It is trained on patterns weighted by the logarithm of their counts, over all candidates.
-    """
-    x = _features(list(codes))
-    pattern = np.array([[v + 1 for v in _decode(c)[1]] for c in codes])
+    like = np.repeat((prior / prior.sum(axis=2, keepdims=True))[None], len(KINDS), axis=0)
+    share, j = np.full(len(KINDS), 0.5), np.arange(len(LABELERS))
+    for kind in range(len(KINDS)):
+        mine = {c: n for c, n in codes.items() if _decode(c)[0] == kind}
+        if not mine:
+            continue
+        pattern = np.array([[x + 1 for x in _decode(c)[1]] for c in mine])
+        weight = np.array(list(mine.values()), float)
+        for _ in range(rounds):
+            post = posterior(like[kind], share[kind], pattern)
+            share[kind] = min(0.95, max(0.05, (weight @ post + 1) / (weight.sum() + 2)))
+            for c, w in ((1, weight * post), (0, weight * (1 - post))):
+                got = prior[c].copy()
+                np.add.at(got, (j[None, :].repeat(len(pattern), 0), pattern), w[:, None].repeat(len(j), 1))
+                like[kind, c] = got / got.sum(axis=1, keepdims=True)
+    return like, share
+
+
+def posterior(like: np.ndarray, share: float, pattern: np.ndarray) -> np.ndarray:
+    """P(true) of one kind's vote patterns (votes plus 1)."""
     j = np.arange(len(LABELERS))
-    p1, p0 = like[1][j, pattern].prod(axis=1), like[0][j, pattern].prod(axis=1)
-    target, weight = p1 / (p1 + p0), np.log1p(np.array(list(codes.values()), float))
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w += rate * (x.T @ (weight * (target - p)) / weight.sum() - decay * w)
-    return w
+    p1, p0 = share * like[1][j, pattern].prod(axis=1), (1 - share) * like[0][j, pattern].prod(axis=1)
+    return p1 / (p1 + p0)
+
+
+#: Features are hashed into so many weights.
+FEATURES = 1 << 12
+#: The classifier is trained on at most so many candidates of each kind: of those whose hashes fall
+#: into one of so many buckets, the one with the least hash.
+SAMPLE = 2048
 
 
-def accepted_codes(codes: dict[int, int]) -> frozenset[int]:
-    if not codes:
-        return frozenset()
-    w = train_classifier(codes, fit_labelers(codes))
-    return frozenset(c for c, score in zip(codes, _features(list(codes)) @ w, strict=True) if score > 0)
+def features(text: str, kind: int, start: int, end: int, vote: tuple[int, ...]) -> list[int]:
+    """Hashed features of a span: its kind, votes, characters, length and neighbours."""
+    s = text[start:end]
+    left, right = text[max(0, start - 40) : start], text[end : end + 40]
+    shape = re.sub(r"(.)\1+", r"\1+", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "_" if c.isspace() else c for c in s))
+    before, after = _WORD.findall(left)[-2:], _WORD.findall(right)[:1]
+    out = [f"vote {i} {v}" for i, v in enumerate(vote)]
+    out += [f"length {min(len(s), 64).bit_length()}", f"shape {shape[:12]}", f"first {shape[:1]}", f"last {shape[-1:]}"]
+    out += [f"digits {10 * sum(c.isdigit() for c in s) // len(s)}", f"kinds {min(len(set(s)), 40) // 4}"]
+    out += [f"before {w.lower()}" for w in before] + [f"after {w.lower()}" for w in after] + [f"left {left[-1:]}", f"right {right[:1]}"]
+    return [zlib.crc32(f"{kind} {f}".encode()) % FEATURES for f in ["bias", *out]]
+
+
+def train_classifier(rows: list[list[int]], target: np.ndarray, rounds: int = 300, rate: float = 2.0, decay: float = 0.001) -> np.ndarray:
+    """Weights of a logistic classifier of spans by their features, for soft labels."""
+    w = np.zeros(FEATURES)
+    if not rows:
+        return w
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.concatenate([np.array(r) for r in rows])
+    seen = np.bincount(col, minlength=FEATURES)
+    step = rate / np.sqrt(np.maximum(seen, 1) * len(rows) / 50)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(rows)), -30, 30)))
+        w += step * (np.bincount(col, (target - p)[row], FEATURES) - decay * seen * w)
+    return w
 
 
-def _candidates(text: str) -> list[tuple[int, int, int, int]]:
+def _votes_of(text: str) -> list[tuple[int, int, int, bool, tuple[int, ...]]]:
+    """(kind, start, end, of the base, votes) of each candidate."""
     base = base_spans(text)
-    out = [(k, a, b, _code(k, votes(text, k, a, b), True)) for k, a, b in base]
-    return out + [(k, a, b, _code(k, votes(text, k, a, b), False)) for k, a, b in loose_spans(text, base)]
+    out = [(k, a, b, True, votes(text, k, a, b)) for k, a, b in base]
+    return out + [(k, a, b, False, votes(text, k, a, b)) for k, a, b in loose_spans(text, base)]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 
 
+#: Texts are searched together up to so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def fit_span_classifier(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The classifier's weights, from all candidates of df's texts.
+
+    Tasks count vote patterns and keep, for each kind and bucket of hashes, the candidate of least
+    hash. Counts (at most 14 * 3**5 rows) and the sample (SAMPLE rows a kind) are combined by key
+    and go to the driver, whatever the input. There EM estimates the labelers' reliabilities for
+    each kind, and the classifier is trained on the sample with the posteriors as soft labels.
+    """
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        least: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
+        for b in sized_batches(it, 0, BATCH_BYTES):
+            for t in b.column(0).to_pylist():
+                for kind, x, y, is_base, vote in _votes_of(t) if t else ():
+                    code = _code(kind, vote, is_base)
+                    seen[code] = seen.get(code, 0) + 1
+                    h = zlib.crc32(t[max(0, x - 40) : y + 40].encode(), x - max(0, x - 40))
+                    slot = (kind, h % SAMPLE)
+                    if slot not in least or h < least[slot][0]:
+                        least[slot] = (h, code, features(t, kind, x, y, vote))
+        n, m = len(seen), len(least)
+        cols = [
+            pa.array([-1] * n + [k for k, _ in least], pa.int32()),
+            pa.array([*seen, *[s for _, s in least]], pa.int64()),
+            pa.array([*seen.values(), *[0] * m], pa.int64()),
+            pa.array([None] * n + [{"h": h, "code": c, "features": f} for h, c, f in least.values()], pa.struct([("h", pa.int64()), ("code", pa.int64()), ("features", pa.list_(pa.int32()))])),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["kind", "key", "n", "row"])
+
+    schema = "kind int, key long, n long, row struct<h: long, code: long, features: array<int>>"
+    parts = staged(map_arrow(df.select(F.col(text_col).alias("_t")), count, schema), "pii-candidates")
+    whole = parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min("row").alias("row")).orderBy("kind", "key").collect()
+    unstage(parts)
+    like, share = fit_labelers({r["key"]: r["n"] for r in whole if r["kind"] < 0})
+    sample = [r["row"] for r in whole if r["kind"] >= 0]
+    target = np.array([posterior(like[k], share[k], np.array([v]) + 1)[0] for k, v, _ in (_decode(r["code"]) for r in sample)])
+    return train_classifier([r["features"] for r in sample], target)
+
+
+def _accepted(text: str, weights: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, of the base) of a text's spans, by kind and start."""
+    got = [(k, a, b, is_base) for k, a, b, is_base, vote in _votes_of(text) if is_base or weights[features(text, k, a, b, vote)].sum() > 0]
+    return sorted(got)
+
+
 def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", keep_cols: list[str] | None = None) -> DataFrame:
     """Adds spans_col: each text's spans of personal data, by kind and start, in code points.
 
-    The base's patterns are candidates and always stay. Looser patterns propose more; regex,
-    checksum, gazetteer, context and border labelers vote on every candidate of every text. The
-    counts of vote patterns (at most 14 * 3**5 of them, whatever the input) go to the driver,
-    where expectation-maximisation estimates the labelers' reliabilities and a logistic
-    classifier is trained on the posteriors; it decides on the candidates beside the base.
+    The base's patterns are candidates and always stay. Looser patterns propose more (cards only
+    with a right check digit); regex, checksum, gazetteer, context and border labelers vote on
+    every candidate of every text. Expectation-maximisation estimates their reliabilities for each
+    kind, and a classifier over the spans' characters, lengths, neighbours and votes, trained on
+    the posteriors, decides on the candidates beside the base. See fit_span_classifier.
 
     Keeps keep_cols (default: all columns); a column called spans_col is replaced. A null or
     empty text has no spans. Repeated rows are searched each; an empty table gives an empty
@@ -276,49 +343,44 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", ke
     """
     keep = [c for c in (df.columns if keep_cols is None else keep_cols) if c != spans_col]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(spans_col, SPANS)])
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for b in batches_of(it, 1000):
-            for t in b.column(0).to_pylist():
-                for c in _candidates(t) if t else ():
-                    seen[c[3]] = seen.get(c[3], 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
-
-    counted = df.select(F.col(text_col).alias("_t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    accepted = accepted_codes({r["code"]: r["n"] for r in counted.orderBy("code").collect()})
+    weights = fit_span_classifier(df, text_col)
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 1000):
+        for b in sized_batches(it, len(keep), BATCH_BYTES):
             out = []
             for t in b.column(len(keep)).to_pylist():
-                got = sorted((k, x, y, c & 1) for k, x, y, c in (_candidates(t) if t else ()) if c & 1 or c in accepted)
-                out.append([{"kind": KINDS[k], "start": x, "end": y, "base": bool(c)} for k, x, y, c in got])
+                out.append([{"kind": KINDS[k], "start": x, "end": y, "base": c} for k, x, y, c in (_accepted(t, weights) if t else ())])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(out, kind)], schema.names)
 
-    return df.select(*keep, F.col(text_col).alias("_pii_text")).mapInArrow(find, schema)
+    return map_arrow(df.select(*keep, F.col(text_col).alias("_pii_text")), find, schema)
+
+
+def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    """text with its spans replaced by their kinds in angle brackets; where spans overlap, by the first one's."""
+    parts, end = [], 0
+    for kind, x, y, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if x >= end:
+            parts += [text[end:x], f"<{KINDS[kind]}>"]
+        end = max(end, y)
+    return "".join(parts) + text[end:]
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with each span of find_pii replaced by its kind in angle brackets; where spans overlap, by the first one's."""
-    spans = find_pii(df, text_col, "_spans")
+    """df with each span of find_pii in text_col replaced by its kind in angle brackets; where spans
+    overlap, by the first one's. Null texts stay null; other columns stay as they are."""
     schema = T.StructType([df.schema[c] for c in df.columns])
     at = df.columns.index(text_col)
+    weights = fit_span_classifier(df, text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 1000):
+        for b in sized_batches(it, at, BATCH_BYTES):
             texts = b.column(at).to_pylist()
-            for i, got in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                if got:
-                    parts, end = [], 0
-                    for s in sorted(got, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= end:
-                            parts += [texts[i][end : s["start"]], f"<{s['kind']}>"]
-                        end = max(end, s["end"])
-                    texts[i] = "".join(parts) + texts[i][end:]
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
+            for i, t in enumerate(texts):
+                if t and (got := _accepted(t, weights)):
+                    texts[i] = redact(t, got)
+            cols = list(b.columns)
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return spans.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
