@@ -77,7 +77,7 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
 def first_parts(k: int) -> tuple[int, int]:
     """Parts of the first level of a band with difference k, and how many of them are spare."""
     need = k // 2 + 1
-    spare = 0 if need < 4 else 1 + need // 20
+    spare = 0 if need < 4 else 2 + need // 16
     return need + spare, spare
 
 
@@ -91,8 +91,9 @@ def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], thresh
     one element, of which two sets that differ by one element share one.
 
     Signatures that hash fewer than two elements that way are shared by sets that have little in
-    common. So there are `spare` more parts than k needs: a set with at most so many parts that
-    can give such signatures agrees with each partner elsewhere too, and leaves them out.
+    common. So there are `spare` more parts than k needs, and every pair agrees in `spare` + 1 parts:
+    a set in which at most half as many as `spare` parts can give such signatures leaves them out,
+    and has, whatever its partner leaves out, another part that agrees.
     Bands whose k is 0 ask for equal sets, which the digest finds; they have no signatures.
     """
     n, out = len(values), []
@@ -115,7 +116,7 @@ def signatures(values: np.ndarray, band_list: list[tuple[int, int, int]], thresh
         if empty.any():
             i, j = np.nonzero(empty)
             small = np.unique(i[count[i, j] <= 2])
-            all_of = len(small) > spare
+            all_of = 2 * len(small) > spare
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 c = int(count[x, y])
                 if c <= 1 and not all_of:
@@ -191,19 +192,21 @@ def _bucket_rows(rows: DataFrame) -> DataFrame:
     return held.where("n > 1 or sig is not null").select(F.coalesce("sig", "key").alias("sig"), "id", "centre")
 
 
-#: Longs of the parity sketch: a set's elements flip its bits, so two sketches differ in no more
-#: bits than their sets in elements.
-SKETCH = 4
-SKETCH_COLS = tuple(f"b{i}" for i in range(SKETCH))
+#: (least size, longs) of the parity sketch: a set's elements flip its bits, so two sketches, the
+#: longer one folded by XOR, differ in no more bits than their sets in elements. So many bits that
+#: sets of that size which have little in common differ in more than links allow.
+SKETCH_LONGS = ((0, 4), (512, 16), (2048, 64))
 
 
-def sketches(s: Shingles) -> np.ndarray:
-    """The parity sketch of each of the texts, (texts, SKETCH) longs."""
-    n = len(s.limits) - 1
-    bits = np.zeros((n, SKETCH * 64), np.uint8)
-    doc = np.repeat(np.arange(n), np.diff(s.limits))
-    np.bitwise_xor.at(bits.reshape(-1), doc * (SKETCH * 64) + (mix(s.values) >> np.uint64(40)).astype(np.int64) % (SKETCH * 64), 1)
-    return np.packbits(bits, axis=1).view(np.int64)
+def sketches(s: Shingles) -> pa.ListArray:
+    """The parity sketch of each of the texts, as longs."""
+    sizes = np.diff(s.limits)
+    longs = np.array([x for _, x in SKETCH_LONGS])[np.searchsorted([x for x, _ in SKETCH_LONGS], sizes, "right") - 1]
+    offsets = np.concatenate(([0], np.cumsum(longs)))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = (mix(s.values) >> np.uint64(40)).astype(np.int64) & (64 * longs - 1)[doc]
+    bits = np.bincount(64 * offsets[doc] + at, minlength=64 * int(offsets[-1])) & 1
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.packbits(bits.astype(np.uint8)).view(np.int64)))
 
 
 def wide_sketch(values: np.ndarray) -> bytes:
@@ -216,8 +219,8 @@ def wide_sketch(values: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, a sketch)."""
-    names = ["id", "n_shingles", "d1", "d2", *SKETCH_COLS]
+    """docs(id, text) -> (id, n_shingles, d1, d2: a 128-bit digest, sketch)."""
+    names = ["id", "n_shingles", "d1", "d2"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
@@ -227,11 +230,10 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 n.append(np.diff(s.limits))
                 d += [set_digest(s.values[lo:hi]) for lo, hi in zip(s.limits[:-1], s.limits[1:], strict=True)]
                 sketch.append(sketches(s))
-            sketch = np.concatenate(sketch)
-            cols = [np.concatenate(n), *np.array(d, np.int64).reshape(-1, 2).T, *sketch.T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols)], names)
+            cols = [np.concatenate(n), *np.array(d, np.int64).reshape(-1, 2).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in cols), pa.concat_arrays(sketch)], [*names, "sketch"])
 
-    return map_arrow(docs, run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    return map_arrow(docs, run, T.StructType([*[T.StructField(n, T.LongType()) for n in names], T.StructField("sketch", T.ArrayType(T.LongType()))]))
 
 
 #: Bits of the filter of wanted ids: it is of this size at any scale, and only spares work.
@@ -282,7 +284,17 @@ def shingle_values(docs: DataFrame, wanted: DataFrame, size: int, of_set: Callab
 def _may_link(one: str, two: str, pct: int) -> Column:
     """Whether sizes and sketches of two sets, in columns with these endings, let them link."""
     na, nb = F.col(f"n{one}"), F.col(f"n{two}")
-    differ = sum((F.bit_count(F.col(f"{c}{one}").bitwiseXOR(F.col(f"{c}{two}"))) for c in SKETCH_COLS[1:]), F.bit_count(F.col(f"b0{one}").bitwiseXOR(F.col(f"b0{two}"))))
+    m = F.least(F.size(f"sketch{one}"), F.size(f"sketch{two}"))
+
+    def folded(name: str) -> Column:
+        c = F.col(name)
+
+        def place(i: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(c) / m).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(c, i + j * m)))
+
+        return F.when(F.size(c) == m, c).otherwise(F.transform(F.sequence(F.lit(0), m - 1), place))
+
+    differ = F.aggregate(F.zip_with(folded(f"sketch{one}"), folded(f"sketch{two}"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * pct) & (differ * (100 + pct) <= (na + nb) * (100 - pct))
 
 
@@ -311,7 +323,7 @@ def _sketched(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Of pairs(a, b), those whose sizes and sketches let them link."""
 
     def side(x: str) -> DataFrame:
-        return sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in SKETCH_COLS])
+        return sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("_a", "_b", pct)).select("a", "b")
 
@@ -409,9 +421,9 @@ def ngram_jaccard_components(
     # Each row carries the least of its document's open signatures: a pair is left to the bucket of
     # a smaller signature where both have one among these, so that it is seldom made twice.
     mine = label.join(mixed, "sig").groupBy("id", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-    sketch = some.select(F.col("id").alias("_s"), F.col("n_shingles").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH_COLS])
+    sketch = some.select(F.col("id").alias("_s"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     mine = mine.join(sketch, mine["id"] == sketch["_s"]).withColumn("low_a", F.slice("sigs", 1, LOW_SIGS))
-    wide = ["n_a", *[f"{c}_a" for c in SKETCH_COLS], "low_a"]
+    wide = ["n_a", "sketch_a", "low_a"]
     open_ = staged(mine.select(F.explode("sigs").alias("sig"), "c", F.col("id").alias("a"), *wide), "open")
     unstage(label)
     other = open_.select("sig", F.col("c").alias("cb"), F.col("a").alias("b"), *[F.col(c).alias(f"{c[:-1]}b") for c in wide])
