@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cubewright.llm.common import batches_of
+from cubewright.llm.common import batches_of, map_arrow
 
 #: The template: each turn is HEAD, role, MIDDLE, content, TAIL. Inside contents the control
 #: strings and the escape sign itself are escaped, so that they read back as they were.
@@ -131,7 +131,7 @@ def format_chat(df: DataFrame, parts: Column, conv_col: str = "conv_id", turn_co
                 [b.column(0), pa.array(cols[0], pa.string()), *[pa.array(x, pa.int64()) for x in cols[1:6]], pa.array(cols[6], _ARROW_ATTACHMENTS)], schema.names
             )
 
-    return turns.mapInArrow(run, schema)
+    return map_arrow(turns, run, schema)
 
 
 def read_chat_digests(segments: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -178,4 +178,4 @@ def read_chat_digests(segments: DataFrame, conv_col: str = "conv_id") -> DataFra
         if state is not None:
             yield batch([close()])
 
-    return segments.select(conv_col, "segment", "loss_start", "loss_end").mapInArrow(run, schema)
+    return map_arrow(segments.select(conv_col, "segment", "loss_start", "loss_end"), run, schema)

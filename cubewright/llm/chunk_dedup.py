@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cubewright.llm.common import Words, batches_of, groups, mix, powers, staged
+from cubewright.llm.common import Words, batches_of, groups, map_arrow, mix, powers, staged
 
 #: The gear hash's 32-bit value at a byte depends on the last 32 bytes, and the bits that are
 #: tested on the last WINDOW only.
@@ -106,7 +106,7 @@ def _rows(docs: DataFrame, bitmap=None) -> DataFrame:
                 cols = [d1[keep].view(np.int64), d2[keep].view(np.int64), ids[doc], v[doc], c.position[keep].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], ["d1", "d2", "id", "v", "position"])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, id long, v long, position int")
+    return map_arrow(docs, run, "d1 long, d2 long, id long, v long, position int")
 
 
 def _bitmap(repeated: DataFrame):
@@ -186,4 +186,4 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_chunks), pa.array(n_dropped), pa.array(words), pa.array(ids, pa.list_(pa.int64()))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -121,10 +121,14 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     old, last = e, mark(e)
     while last[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
+        # The joins' key isn't the aggregates' own, so that each side is dealt out for the join alone
+        # and Spark can split the rows of a centre.
+        key = F.bitwise_not("u").alias("k")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(key, F.least("u", "m").alias("m"))
+        e = both.where("v > u").select("v", key).join(least, "k").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m")).select(key, "m")
+        e = e.select("u", "v", key).join(least, "k")
+        e = e.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
         before, e = old, staged(e.select("x.u", "x.v").where("u <> v").distinct(), name)
         old = e
         unstage(before)

@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from cubewright.llm.common import staged
+from cubewright.llm.common import map_arrow, sized_batches, staged
 
-#: Words of up to so many characters are remembered, so many of them in each Python worker.
-CACHE_CHARS, CACHE_WORDS = 48, 800_000
+#: Words of up to so many characters are remembered, in about so many bytes of a Python worker and
+#: until its task ends. What one takes beside its characters and ids is WORD_BYTES.
+CACHE_CHARS, CACHE_BYTES, WORD_BYTES = 48, 96 << 20, 190
 #: Python's split() takes these for white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts are coded together up to so many bytes, which bounds the scratch memory.
+BATCH_BYTES = 8 << 20
 #: Pieces of one length are ranked in groups of about so many.
 GROUP_ROWS = 100_000
 
@@ -29,10 +32,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.mark_id = special[0] if special else (None, -1)
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
     def _code(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -65,10 +73,12 @@ class WordTokenizer:
             known.update(zip(part, self._code_words(part), strict=True))
         for t, o in zip(texts, odd, strict=True):
             yield self._code([t])[0] if o else b"".join(map(known.__getitem__, t.split()))
-        room = len(fresh) - (len(known) - CACHE_WORDS)
-        for i, w in enumerate(fresh):
-            if i >= room or len(w) > CACHE_CHARS:
+        for w in fresh:
+            size = WORD_BYTES + len(w) + len(known[w])
+            if len(w) > CACHE_CHARS or self.held + size > CACHE_BYTES:
                 del known[w]
+            else:
+                self.held += size
 
 
 @lru_cache(maxsize=2)
@@ -92,7 +102,7 @@ def token_pieces(
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokenizer(tokenizer_path)
-        for b in it:
+        for b in sized_batches(it, 1, BATCH_BYTES):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, code in enumerate(coder.encode([t or "" for t in b.column(1).to_pylist()])):
                 code += tail
@@ -108,7 +118,7 @@ def token_pieces(
             cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), schema.names)
 
-    return df.select(F.col(id_col), F.col(text_col).alias("_pack_text")).mapInArrow(run, schema)
+    return map_arrow(df.select(F.col(id_col), F.col(text_col).alias("_pack_text")), run, schema, lambda: word_tokenizer(tokenizer_path).forget())
 
 
 # The plan ------------------------------------------------------------------------------------
@@ -273,7 +283,7 @@ def pack_lengths(pieces: DataFrame, length_col: str = "length", order_cols: tupl
             t = r - s[:, 1]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(s[:, 3] + t // s[:, 2]), pa.array(s[:, 4] + t % s[:, 2] * n)], schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return map_arrow(ranked, place, schema)
 
 
 def pack_documents(
