@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,13 +11,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cubewright.llm.common import map_arrow, sized_batches, staged
 
-#: Words of up to so many characters are remembered, in about so many bytes of a Python worker and
-#: until its task ends. What one takes beside its characters and ids is WORD_BYTES.
-CACHE_CHARS, CACHE_BYTES, WORD_BYTES = 48, 96 << 20, 190
+#: Parts of words of up to so many characters are remembered, in about so many bytes of a Python
+#: worker as long as it lives. What one takes beside its characters and ids is PART_BYTES.
+CACHE_CHARS, CACHE_BYTES, PART_BYTES = 48, 40 << 20, 190
+#: In words without these the tokenizer changes nothing but case, and codes the parts that its
+#: splitting pattern gives by themselves.
+_ODD_PART = re.compile(r"[^\n!-~\xa1-\xff]|<\|")
+_NO_ID = 2**32 - 1
 #: Python's split() takes these for white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Texts are coded together up to so many bytes, which bounds the scratch memory.
@@ -32,18 +38,54 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.find = self._pattern(path)
+        self.parts: dict[str, bytes] = {"\n": _NO_ID.to_bytes(4, "little")}
+        self.held = 0
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.mark_id = special[0] if special else (None, -1)
 
-    def forget(self) -> None:
-        """Empties the cache."""
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
     def _code(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _pattern(path: str):
+        """How lower-cased words are split, if the file says so in the way known here; else None."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        kinds = [n["type"] for n in steps]
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        known = kinds == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and spec["model"].get("continuing_subword_prefix") is None
+        known = known and [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["use_regex"]
+        return regex.compile(split[0]["pattern"]["Regex"] + r"|\n").findall if known else None
+
+    def _code_new(self, words: set[str]) -> dict[str, bytes]:
+        """Words by their parts where that is known to be the same, and else as they are."""
+        if self.find is None:
+            return dict(zip(words, self._code_words(list(words)), strict=True))
+        plain = list(words)
+        if _ODD_PART.search("\n".join(plain)):
+            plain = [w for w in plain if not _ODD_PART.search(w)]
+        odd = words.difference(plain) if len(plain) < len(words) else ()
+        # All words at once: a line end stands after each, and in its place an id that there isn't.
+        parts = self.parts
+        flat = self.find("\n".join([*plain, ""]).lower())
+        fresh = list(set(flat).difference(parts))
+        for lo in range(0, len(fresh), 20_000):
+            some = fresh[lo : lo + 20_000]
+            parts.update(zip(some, self._code_words(some), strict=True))
+        whole = b"".join(map(parts.__getitem__, flat))
+        ends = np.flatnonzero(np.frombuffer(whole, "<u4") == _NO_ID) * 4
+        out = {w: whole[x:y] for w, x, y in zip(plain, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)} if plain else {}
+        out.update(zip(odd, self._code_words(list(odd)), strict=True))
+        for p in fresh:
+            size = PART_BYTES + len(p) + len(parts[p])
+            if len(p) > CACHE_CHARS or self.held + size > CACHE_BYTES:
+                del parts[p]
+            else:
+                self.held += size
+        return out
+
     def _code_words(self, words: list[str]) -> list[bytes]:
         """Many words in one call, with a special token between them, whose id then parts their ids."""
         if self.mark is None:
@@ -62,23 +104,14 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known, new = self.known, set()
         odd = [_ODD_SPACE.search(t) is not None for t in texts]
+        words: set[str] = set()
         for t, o in zip(texts, odd, strict=True):
             if not o:
-                new.update(t.split())
-        fresh = [w for w in new if w not in known]
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            known.update(zip(part, self._code_words(part), strict=True))
+                words.update(t.split())
+        known = self._code_new(words)
         for t, o in zip(texts, odd, strict=True):
             yield self._code([t])[0] if o else b"".join(map(known.__getitem__, t.split()))
-        for w in fresh:
-            size = WORD_BYTES + len(w) + len(known[w])
-            if len(w) > CACHE_CHARS or self.held + size > CACHE_BYTES:
-                del known[w]
-            else:
-                self.held += size
 
 
 @lru_cache(maxsize=2)
@@ -118,7 +151,7 @@ def token_pieces(
             cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), schema.names)
 
-    return map_arrow(df.select(F.col(id_col), F.col(text_col).alias("_pack_text")), run, schema, lambda: word_tokenizer(tokenizer_path).forget())
+    return map_arrow(df.select(F.col(id_col), F.col(text_col).alias("_pack_text")), run, schema)
 
 
 # The plan ------------------------------------------------------------------------------------

@@ -272,6 +272,21 @@ def test_packing_places_every_token(spark):
     assert pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_words_are_coded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    from cubewright.llm.packing import WordTokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), WordTokenizer(path)
+    rng = np.random.default_rng(31)
+    bits = [chr(c) for c in (*range(33, 127), *range(0xA1, 0x100))] + [*" \t\n", *map(chr, (0x1C, 0x107, 0x130, 0x3A3, 0x3C2, 0xB2)), "<|endoftext|>", "'s", "'LL", "日本", "e\u0301"]
+    texts = ["".join(bits[int(k)] for k in rng.integers(0, len(bits), rng.integers(0, 30))) for _ in range(5000)]
+    for t, code in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(code, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert own.find is not None
+
+
 # BPE
 
 
