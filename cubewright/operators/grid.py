@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -93,19 +95,17 @@ def partial_frames(frames: DataFrame, command: str, n_fast: int | None = None, e
 def local_maxima(profile: DataFrame, value: str, index: str = "i0", sigma: float = 1.5, half: int = 4, apart: int = 3, top: int = 2) -> DataFrame:
     """(scan_id, y, x, k, index, height): up to two maxima of a smoothed profile that lie apart.
 
-    Smoothing is a Gaussian over 2 * half + 1 samples, normalised at the ends; a maximum is
-    higher than the sample before it and not lower than the one after. The second is the
-    highest that is more than `apart` samples from the first.
+    Smoothing is a Gaussian over 2 * half + 1 samples, with zeros beyond the ends; a maximum is
+    higher than the sample before it and not lower than the one after, so that no end is one. The
+    second is the highest that is more than `apart` samples from the first. Heights count to nine
+    decimals.
     """
-    import math
-
     at = Window.partitionBy("scan_id", "y", "x").orderBy(index)
-    total, norm = F.lit(0.0), F.lit(0.0)
-    for d in range(-half, half + 1):
-        w = math.exp(-d * d / (2 * sigma * sigma))
-        n = F.lag(value, -d).over(at).cast("double")
-        total, norm = total + F.coalesce(n * w, F.lit(0.0)), norm + F.when(n.isNotNull(), w).otherwise(0.0)
-    s = profile.withColumn("_s", total / norm)
+    weights = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-half, half + 1)}
+    total = F.lit(0.0)
+    for d, w in weights.items():
+        total = total + F.coalesce(F.lag(value, -d).over(at).cast("double") * w, F.lit(0.0))
+    s = profile.withColumn("_s", F.round(total / sum(weights.values()), 9))
     s = s.withColumns({"_p": F.lag("_s").over(at), "_n": F.lead("_s").over(at)}).where("_s > _p and _s >= _n")
     best = Window.partitionBy("scan_id", "y", "x").orderBy(F.desc("_s"), index)
     s = s.withColumn("_first", F.first(index).over(best))

@@ -173,9 +173,19 @@ def grain_mask_robust(spark, sf_dir):
     return P.grain_mask_robust(cube_li(spark, sf_dir), peak_threshold=300, close=0, fill=False).select("y", "x")
 
 
-@query()
+CROSS = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx)"
+
+
+@query(f"""WITH RECURSIVE {LI}, z AS (SELECT y, x, sum(v) AS z FROM vox GROUP BY y, x), m0 AS (SELECT y, x FROM z WHERE z > 0.9 * (SELECT max(z) FROM z)),
+d1 AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM m0, {CROSS} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7),
+d2 AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM d1, {CROSS} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7),
+e1 AS (SELECT a.y, a.x FROM d2 a, {CROSS} JOIN d2 b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x HAVING count(*) = 5),
+e2 AS (SELECT a.y, a.x FROM e1 a, {CROSS} JOIN e1 b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY a.y, a.x HAVING count(*) = 5),
+free AS (SELECT a.y, b.x FROM range(-1, 9) a(y), range(-1, 9) b(x) WHERE (a.y, b.x) NOT IN (SELECT (y, x) FROM e2)),
+flood AS (SELECT CAST(-1 AS BIGINT) AS y, CAST(-1 AS BIGINT) AS x UNION SELECT f.y, f.x FROM flood l, {CROSS} JOIN free f ON f.y = l.y + dy AND f.x = l.x + dx)
+SELECT CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM range(8) a(y), range(8) b(x) WHERE (a.y, b.x) NOT IN (SELECT (y, x) FROM flood)""")
 def grain_mask_closed(spark, sf_dir):
-    """The mask with closing and filled holes; the tests hold it against a plain flood fill."""
+    """The mask with closing and filled holes."""
     return P.grain_mask(cube_li(spark, sf_dir), 0.9).select("y", "x")
 
 
@@ -225,7 +235,20 @@ def hot_pixels(spark, sf_dir):
     return P.remove_hot_pixels(cube_ev(spark, sf_dir), 3.0, one_sided=True, min_sigma=1.0).voxels.select("y", "x", "i0", "v")
 
 
-@query()
+def _median3(name: str, source: str, key: str) -> str:
+    """Each pixel with the median of its 3 by 3 neighbours, the detector's edge repeated."""
+    on = f"n.{key} = f.{key} AND " if key else ""
+    by = f"f.{key}, " if key else ""
+    return f"""{name} AS (SELECT {by}f.y, f.x, any_value(f.v) AS v, median(n.v) AS med FROM {source} f, (SELECT unnest([-1, 0, 1]) AS dy) p, (SELECT unnest([-1, 0, 1]) AS dx) q, {source} n
+  WHERE {on}n.y = least(greatest(f.y + dy, 0), 7) AND n.x = least(greatest(f.x + dx, 0), 7) GROUP BY {by}f.y, f.x)"""
+
+
+@query(f"""WITH {EV}, tm AS (SELECT y, x, median(v) AS v FROM evox GROUP BY y, x), {_median3('tn', 'tm', '')},
+st AS (SELECT y, x, abs(v - med) > 3 * (SELECT greatest(1.4826 * median(abs(v - med)), 1.0) FROM tn) AS hot FROM tn),
+fr AS (SELECT y, x, i0, v FROM evox), {_median3('f0', 'fr', 'i0')},
+f1 AS (SELECT f0.y, f0.x, f0.i0, CASE WHEN hot THEN trunc(med) ELSE v END AS v FROM f0 JOIN st USING (y, x)), {_median3('f2', 'f1', 'i0')},
+sg AS (SELECT i0, greatest(1.4826 * median(abs(v - med)), 1.0) AS s FROM f2 GROUP BY i0)
+SELECT y, x, i0, CAST(CASE WHEN abs(v - med) > 3 * s THEN trunc(med) ELSE v END AS BIGINT) AS v FROM f2 JOIN sg USING (i0)""")
 def hot_pixels_hybrid(spark, sf_dir):
     return P.remove_hot_pixels(cube_ev(spark, sf_dir), 3.0, min_sigma=1.0, method="hybrid").voxels.select("y", "x", "i0", "v")
 
@@ -300,9 +323,12 @@ def orientation(spark, sf_dir):
     return o.select("y", "x", r6("o0", "o0"), r6("o1", "o1"), *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "rgb"])
 
 
-@query()
+@query(f"""WITH {LI}, {MOM.format(t='vox')}, u AS (SELECT y, x, (mu0 - 0.045) / (0.055 - 0.045) * 2 - 1 AS u, (mu1 - 0.035) / (0.045 - 0.035) * 2 - 1 AS v FROM mom),
+h AS (SELECT y, x, abs(u) <= 1 AND abs(v) <= 1 AS inside, ((atan2(v, u) / (2 * pi())) % 1 + 1) % 1 AS h, least(greatest(abs(u), abs(v)), 1) AS s FROM u)
+SELECT y, x, """ + ", ".join(f"round(CASE WHEN inside THEN 1 - s * greatest(0, least(({n} + h * 6) % 6, 4 - ({n} + h * 6) % 6, 1)) ELSE 0.2 END, 4) + 0.0 AS {c}" for n, c in ((5, "r"), (3, "g"), (1, "b"))) + " FROM h")
 def orientation_stamp(spark, sf_dir):
-    return maps.orientation_stamp(_mom(spark, sf_dir), [(0.045, 0.055), (0.035, 0.045)]).select("y", "x", r6("r", "r"), r6("g", "g"), r6("b", "b"))
+    stamp = maps.orientation_stamp(_mom(spark, sf_dir), [(0.045, 0.055), (0.035, 0.045)])
+    return stamp.select("y", "x", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "rgb"])
 
 
 @query(f"WITH {LI}, {MOM.format(t='vox')} SELECT y, x, {sql6('sqrt(greatest(v00 + v11, 0))', 'mosaicity')} FROM mom")
@@ -491,9 +517,14 @@ def brightest_frame(spark, sf_dir):
     return best.join(near, [*KEY, "peak"]).select("y", "x", "peak", "around")
 
 
-@query()
+@query(f"""WITH {EV}, ker AS (SELECT d, exp(-d * d / 4.5) AS w FROM range(-4, 5) k(d)),
+sm AS (SELECT a.y, a.x, a.i0, round(sum(b.v * w) / (SELECT sum(w) FROM ker), 9) AS s FROM evox a JOIN evox b ON a.y = b.y AND a.x = b.x JOIN ker ON d = b.i0 - a.i0 GROUP BY a.y, a.x, a.i0),
+pk AS (SELECT y, x, i0, s FROM sm QUALIFY s > lag(s) OVER (PARTITION BY y, x ORDER BY i0) AND s >= lead(s) OVER (PARTITION BY y, x ORDER BY i0)),
+one AS (SELECT y, x, i0, s FROM pk QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY s DESC, i0) = 1),
+two AS (SELECT p.y, p.x, p.i0, p.s FROM pk p JOIN one o ON p.y = o.y AND p.x = o.x AND abs(p.i0 - o.i0) > 3 QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY p.s DESC, p.i0) = 1)
+SELECT y, x, CAST(1 AS INT) AS k, CAST(i0 AS INT) AS at, {sql6('s', 'height')} FROM one UNION ALL SELECT y, x, 2, CAST(i0 AS INT), {sql6('s', 'height')} FROM two""")
 def separated_maxima(spark, sf_dir):
-    return grid.local_maxima(cube_ev(spark, sf_dir).voxels, "v").select("y", "x", "k", "at", r6("height", "height"))
+    return grid.local_maxima(cube_ev(spark, sf_dir).voxels, "v").select("y", "x", "k", F.col("at").cast("int").alias("at"), r6("height", "height"))
 
 
 @query(f"""WITH {EV3}, a AS (SELECT scan_id, y, x, sum(v * c0) / nullif(sum(v), 0) AS mu, sum(v) AS s FROM evox GROUP BY ALL)
@@ -540,54 +571,143 @@ def frames_layout(spark, sf_dir):
     return c.select(F.col("frame").cast("int").alias("frame"), F.size("px").alias("n"), weighed.alias("fingerprint"))
 
 
-# Fits: not sayable in SQL, so that the tests hold them against known truths -----------------
+# Fits: of curves made, for each supplier, from parameters that the SQL states. Those lie on a grid,
+# to which the fitted ones are rounded.
+
+
+def _made(spark, sf_dir, grid_shape: tuple[int, ...], value) -> DataFrame:
+    """curves(scan_id, y, x, v): value(k, i0[, i1]) over a grid, for each supplier k."""
+    points = int(np.prod(grid_shape))
+
+    def at(p: Column) -> Column:
+        where = [p] if len(grid_shape) == 1 else [F.floor(p / grid_shape[1]), p % grid_shape[1]]
+        return value(F.col("k"), *[i.cast("double") for i in where])
+
+    return _suppliers(spark, sf_dir).select(*KEY, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at).alias("v"), "k")
+
+
+def _bell(x: Column, mu, sigma) -> Column:
+    return F.exp(-0.5 * F.pow((x - mu) / sigma, F.lit(2.0)))
+
+
+def _bell2(x: Column, y: Column, mu, cov) -> Column:
+    """Of covariance ((a, b), (b, c))."""
+    (a, b, c), dx, dy = cov, x - mu[0], y - mu[1]
+    return F.exp(-0.5 * (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * c - b * b))
+
+
+def _supplier(fit: DataFrame) -> Column:
+    return (F.col("y") * 16 + F.col("x")).cast("long").alias("k")
+
 
+def _on_grid(c: Column, digits: int, name: str) -> Column:
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
-def _coords(m: int, n: int) -> np.ndarray:
-    return np.stack(np.meshgrid(np.arange(m) * 0.01, np.arange(n) * 0.01, indexing="ij")).reshape(2, -1)
+
+def _truths(*columns: str) -> str:
+    return f"SELECT k, {', '.join(columns)} FROM (SELECT s_suppkey AS k FROM supplier)"
+
+
+def _truth(expr: str, name: str, digits: int = 1) -> str:
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
 HOURS = np.arange(24.0)
+FINE = np.arange(121) * 0.2
+GRID2 = np.stack(np.meshgrid(np.arange(11.0), np.arange(9.0), indexing="ij")).reshape(2, -1)
 
 
-@query()
+@query(_truths(_truth("100 + 10 * (k % 7)", "A", -1), _truth("1.5 + 0.1 * (k % 9)", "sigma"), _truth("8 + 0.1 * (k % 60)", "mu"), _truth("0.1 * (k % 5)", "slope"), _truth("5 + k % 4", "base", 0), "CAST(1 AS DOUBLE) AS success"))
 def fit_gauss1d(spark, sf_dir):
-    return fits.fit_gaussian_1d(cube_ev(spark, sf_dir).curves(), HOURS)
+    curves = _made(spark, sf_dir, (24,), lambda k, x: (100 + 10 * (k % 7)) * _bell(x, 8 + 0.1 * (k % 60), 1.5 + 0.1 * (k % 9)) + 0.1 * (k % 5) * x + 5 + k % 4)
+    f = fits.fit_gaussian_1d(curves, HOURS, n_iter=30)
+    return f.select(_supplier(f), _on_grid(F.col("A"), -1, "A"), _on_grid(F.col("sigma"), 1, "sigma"), _on_grid(F.col("mu"), 1, "mu"), _on_grid(F.col("k"), 1, "slope"), _on_grid(F.col("m"), 0, "base"), "success")
 
 
-@query()
+@query(_truths(_truth("100 + 10 * (k % 7)", "A", -1), _truth("1.1 + 0.1 * (k % 4)", "sigma"), _truth("10 + 0.1 * (k % 40)", "mu"), _truth("1.0 + 0.1 * (k % 5)", "gamma"), _truth("0.3 + 0.1 * (k % 3)", "eta"), "CAST(1 AS DOUBLE) AS success"))
 def fit_pseudo_voigt(spark, sf_dir):
-    return fits.fit_pseudo_voigt_1d(cube_ev(spark, sf_dir).curves(), HOURS)
+    def value(k, i):
+        x, mu, gamma, eta = i * 0.2, 10 + 0.1 * (k % 40), 1.0 + 0.1 * (k % 5), 0.3 + 0.1 * (k % 3)
+        lorentz = gamma * gamma / ((x - mu) * (x - mu) + gamma * gamma)
+        return (100 + 10 * (k % 7)) * ((1 - eta) * _bell(x, mu, 1.1 + 0.1 * (k % 4)) + eta * lorentz) + 3
+
+    f = fits.fit_pseudo_voigt_1d(_made(spark, sf_dir, (121,), value), FINE, n_iter=200)
+    return f.select(_supplier(f), _on_grid(F.col("A"), -1, "A"), *[_on_grid(F.col(n), 1, n) for n in ("sigma", "mu", "gamma", "eta")], "success")
 
 
-@query()
+def _ripple(n: Column) -> Column:
+    """A small known disturbance, without which a single peak would leave nothing to compare fits by."""
+    return 0.05 * (n % 7 - 3)
+
+
+@query(_truths(_truth("1 + (k + 1) % 2", "n_peaks", 0), *[_truth(f"CASE WHEN k % 2 = 0 THEN {e} END", n, d) for e, n, d in (
+    ("100 + 10 * (k % 5)", "A1", -1), ("2.2 + 0.1 * (k % 4)", "sigma1", 1), ("6 + 0.1 * (k % 20)", "mu1", 1), ("120 + 10 * (k % 3)", "A2", -1), ("2.2 + 0.1 * (k % 3)", "sigma2", 1), ("15 + 0.1 * (k % 20)", "mu2", 1))]))
 def fit_gauss1d_two_peaks(spark, sf_dir):
-    return fits.fit_two_gaussians_1d(cube_ev(spark, sf_dir).curves(), HOURS)
+    """Two peaks for even suppliers, one for odd."""
+    def value(k, x):
+        one = (100 + 10 * (k % 5)) * _bell(x, 6 + 0.1 * (k % 20), 2.2 + 0.1 * (k % 4))
+        two = (120 + 10 * (k % 3)) * _bell(x, 15 + 0.1 * (k % 20), 2.2 + 0.1 * (k % 3))
+        return one + F.when(k % 2 == 0, two).otherwise(0.0) + 4 + _ripple(3 * x + k)
+
+    f = fits.fit_two_gaussians_1d(_made(spark, sf_dir, (24,), value), HOURS, n_iter=40)
+    two = F.col("n_peaks") == 2
+    cols = [F.when(two, F.round(_c("params2", i), d) + F.lit(0.0)).alias(n) for i, (n, d) in enumerate((("A1", -1), ("sigma1", 1), ("mu1", 1), ("A2", -1), ("sigma2", 1), ("mu2", 1)))]
+    return f.select(_supplier(f), F.col("n_peaks").cast("double").alias("n_peaks"), *cols)
+
 
+ONE_PEAK = (_truth("100 + 10 * (k % 6)", "A", -1), _truth("4 + 0.1 * (k % 20)", "mu0"), _truth("3 + 0.1 * (k % 15)", "mu1"))
 
-@query()
+
+def _one_peak(k, x, y, cov=None):
+    cov = cov or (1.5 + 0.1 * (k % 5), 0.1 * (k % 4), 1.2 + 0.1 * (k % 3))
+    return (100 + 10 * (k % 6)) * _bell2(x, y, (4 + 0.1 * (k % 20), 3 + 0.1 * (k % 15)), cov) + 5
+
+
+@query(_truths(*ONE_PEAK, _truth("1.5 + 0.1 * (k % 5)", "c00"), _truth("0.1 * (k % 4)", "c01"), _truth("1.2 + 0.1 * (k % 3)", "c11"), "CAST(5 AS DOUBLE) AS base", "CAST(1 AS DOUBLE) AS success"))
 def fit_gauss_nd(spark, sf_dir):
-    return fits.fit_gaussian_nd(cube_li(spark, sf_dir).curves(), _coords(11, 9))
+    f = fits.fit_gaussian_nd(_made(spark, sf_dir, (11, 9), _one_peak), GRID2, n_iter=60)
+    cov = [_on_grid(_c("cov", i, j), 1, f"c{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))]
+    return f.select(_supplier(f), _on_grid(F.col("A"), -1, "A"), _on_grid(_c("mu", 0), 1, "mu0"), _on_grid(_c("mu", 1), 1, "mu1"), *cov, _on_grid(F.col("c"), 0, "base"), "success")
 
 
-@query()
+@query(_truths(_truth("1 + (k + 1) % 2", "n_peaks", 0), _truth("200 + 10 * (k % 4)", "A1", -1), _truth("2.5 + 0.1 * (k % 5)", "m10"), _truth("2 + 0.1 * (k % 4)", "m11"),
+               _truth("CASE WHEN k % 2 = 0 THEN 120 + 10 * (k % 3) ELSE 0 END", "A2", -1), _truth("CASE WHEN k % 2 = 0 THEN 7.5 + 0.1 * (k % 6) ELSE 0 END", "m20"), _truth("CASE WHEN k % 2 = 0 THEN 6 + 0.1 * (k % 3) ELSE 0 END", "m21")))
 def fit_gauss_nd_two_peaks(spark, sf_dir):
-    return fits.fit_two_gaussians_nd(cube_li(spark, sf_dir).curves(), _coords(11, 9), (11, 9))
+    """Two peaks for even suppliers, one for odd."""
+    def value(k, x, y):
+        one = (200 + 10 * (k % 4)) * _bell2(x, y, (2.5 + 0.1 * (k % 5), 2 + 0.1 * (k % 4)), (1.0, 0.2, 0.9))
+        two = (120 + 10 * (k % 3)) * _bell2(x, y, (7.5 + 0.1 * (k % 6), 6 + 0.1 * (k % 3)), (1.2, -0.2, 0.8))
+        return one + F.when(k % 2 == 0, two).otherwise(0.0) + 5 + _ripple(3 * x + 5 * y + k)
+
+    f = fits.fit_two_gaussians_nd(_made(spark, sf_dir, (11, 9), value), GRID2, (11, 9), n_iter=60)
+    peaks = [c for i in (1, 2) for c in (_on_grid(F.col(f"A{i}"), -1, f"A{i}"), _on_grid(_c(f"mu{i}", 0), 1, f"m{i}0"), _on_grid(_c(f"mu{i}", 1), 1, f"m{i}1"))]
+    return f.select(_supplier(f), F.col("n_peaks").cast("double").alias("n_peaks"), *peaks)
 
 
-@query()
+KNOWN_COV = (1.5, 0.3, 1.2)
+
+
+@query(_truths(*ONE_PEAK, "CAST(5 AS DOUBLE) AS base", "CAST(1 AS DOUBLE) AS success"))
 def fit_fixed_cov(spark, sf_dir):
-    return fits.fit_fixed_cov(cube_li(spark, sf_dir).curves(), _coords(11, 9), (11, 9), np.diag([0.0009, 0.0006]))
+    curves = _made(spark, sf_dir, (11, 9), lambda k, x, y: _one_peak(k, x, y, KNOWN_COV))
+    f = fits.fit_fixed_cov(curves, GRID2, (11, 9), np.array([KNOWN_COV[:2], KNOWN_COV[1:]]))
+    return f.select(_supplier(f), _on_grid(F.col("A"), -1, "A"), _on_grid(_c("mu", 0), 1, "mu0"), _on_grid(_c("mu", 1), 1, "mu1"), _on_grid(F.col("c"), 0, "base"), "success")
 
 
-@query()
+@query(_truths("CAST(CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END AS INT) AS source", "CAST(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END AS INT) AS status",
+               _truth("CASE WHEN k % 2 = 0 THEN 10.1 + 0.1 * (k % 5) ELSE 4 + 0.1 * (k % 20) END", "mu0"), _truth("3 + 0.1 * (k % 15)", "mu1"), "CAST(1 AS DOUBLE) AS success"))
 def refit_edge_clipped(spark, sf_dir):
-    cube = cube_li(spark, sf_dir)
-    curves = cube.curves()
-    fit = fits.fit_gaussian_nd(curves, _coords(11, 9)).join(M.edge_peak_mask(cube), list(KEY))
-    status = M.fit_status([_c("mu", 0), _c("mu", 1)], F.col("success"), [(0.0, 0.1), (0.0, 0.08)], [0.01, 0.01], data_edge=F.col("edge"), amplitude=F.col("A"))
-    done = fits.refit_edges(curves, _coords(11, 9), (11, 9), fit.withColumn("status", status).drop("edge"), "status", np.diag([0.0009, 0.0006]))
-    return done.withColumn("status", fits.status_after_refit(F.col("status"), F.col("source")))
+    """Even suppliers' peaks lie beyond the scanned range; the status says so and the refit finds them."""
+    def value(k, x, y):
+        mu = F.when(k % 2 == 0, 10.1 + 0.1 * (k % 5)).otherwise(4 + 0.1 * (k % 20))
+        return (100 + 10 * (k % 6)) * _bell2(x, y, (mu, 3 + 0.1 * (k % 15)), KNOWN_COV) + 5
+
+    curves = _made(spark, sf_dir, (11, 9), value)
+    fit = fits.fit_gaussian_nd(curves, GRID2, n_iter=60)
+    status = M.fit_status([_c("mu", 0), _c("mu", 1)], F.col("success"), [(0.0, 10.0), (0.0, 8.0)], [1.0, 1.0], data_edge=F.col("x") % 2 == 0, amplitude=F.col("A"))
+    done = fits.refit_edges(curves, GRID2, (11, 9), fit.withColumn("status", status), "status", np.array([KNOWN_COV[:2], KNOWN_COV[1:]]))
+    done = done.withColumn("status", fits.status_after_refit(F.col("status"), F.col("source")))
+    return done.select(_supplier(done), F.col("source").cast("int").alias("source"), F.col("status").cast("int").alias("status"), _on_grid(_c("mu", 0), 1, "mu0"), _on_grid(_c("mu", 1), 1, "mu1"), "success")
 
 
 def queries() -> dict:
