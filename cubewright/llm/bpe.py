@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cubewright.llm.common import batches_of, map_arrow, sized_batches
 
-#: Units of up to so many characters are remembered, in about so many bytes of each Python worker
-#: and until its task ends. What a unit takes beside its characters and ids is UNIT_BYTES.
-CACHE_CHARS, CACHE_BYTES, UNIT_BYTES = 48, 32 << 20, 190
+#: Units and pieces of up to so many characters are remembered, each kind in about so many bytes of
+#: a Python worker and until its task ends. What one takes beside its characters and ids is UNIT_BYTES.
+CACHE_CHARS, CACHE_BYTES, UNIT_BYTES = 48, 64 << 20, 190
 #: Texts are coded together up to so many bytes, which bounds the scratch memory; a longer text
 #: goes in parts, cut where the pattern's matches part.
 BATCH_BYTES = 2 << 20
@@ -257,8 +257,11 @@ class Bpe:
         heads, others = list(heads), list(others)
         find = self.find
         splits = [find(u) for u in heads] + [find(" " + u) for u in others]
-        pieces = list({p for s in splits for p in s})
-        got = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True)).__getitem__
+        pieces = {p for s in splits for p in s}
+        known = self.pieces
+        fresh = list(pieces.difference(known))
+        known.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
+        got = known.__getitem__
         coded = [got(s[0]) if len(s) == 1 else b"".join(map(got, s)) for s in splits]
         self.first.update(zip(heads, coded[: len(heads)], strict=True))
         rest.update(zip(others, coded[len(heads) :], strict=True))
@@ -268,19 +271,30 @@ class Bpe:
             head = first[units[0]]
             del units[0]
             out.append(head + b"".join(map(rest.__getitem__, units)))
-        for cache, fresh in ((self.first, heads), (rest, others)):
-            for u in fresh:
-                size = UNIT_BYTES + len(u) + len(cache[u])
-                if len(u) > CACHE_CHARS or (odd and _edgy(u)) or self.held + size > CACHE_BYTES:
+        self._shrink(known, fresh, 0)
+        for cache, new in ((self.first, heads), (rest, others)):
+            if odd:
+                for u in [u for u in new if _edgy(u)]:
                     del cache[u]
-                else:
-                    self.held += size
+                new = [u for u in new if u in cache]
+            self._shrink(cache, new, 1)
         return out
 
+    def _shrink(self, cache: dict[str, bytes], fresh: list[str], kind: int) -> None:
+        """Of what has come into a cache only that stays which there is room for."""
+        held = self.held[kind]
+        for u in fresh:
+            size = UNIT_BYTES + len(u) + len(cache[u])
+            if len(u) > CACHE_CHARS or held + size > CACHE_BYTES:
+                del cache[u]
+            else:
+                held += size
+        self.held[kind] = held
+
     def forget(self) -> None:
         """Empties the caches."""
-        self.held = 0
-        self.first, self.rest = {}, {}
+        self.held = [0, 0]
+        self.first, self.rest, self.pieces = {}, {}, {}
 
     @staticmethod
     def _careful(text: str) -> list[str]:
