@@ -224,6 +224,58 @@ def test_substring_dedup_catches_shifted_passages(spark):
     assert all(r["n_dropped"] == 0 for r in dedup_substrings(docs(spark, [(1, passage), (1, passage), (None, passage)])).collect())
 
 
+def brute_chunks(text):
+    """(words, first byte) of each chunk, by a plain loop over the bytes."""
+    from cubewright.llm.chunk_dedup import CUT_BITS, MAX_WORDS, MIN_WORDS, WINDOW
+
+    raw, h, hashes = text.encode(), 0, []
+    for b in raw:
+        h = ((h << 1) + int(GEAR[b])) % 2**32
+        hashes.append(h)
+    found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out = []
+    for k, (x, y) in enumerate(found):
+        cut = x >= WINDOW and (hashes[x - 1] >> (WINDOW - CUT_BITS)) & (2**CUT_BITS - 1) == 0
+        if not out or (cut and k - out[-1][2] >= MIN_WORDS) or k - out[-1][2] == MAX_WORDS:
+            out.append([[], x, k])
+        out[-1][0].append(raw[x:y])
+    return [(tuple(w), x) for w, x, _ in out]
+
+
+def test_substring_dedup_matches_brute_force(spark):
+    rng = np.random.default_rng(37)
+    passages = [words(rng, int(n), 10**6) for n in rng.integers(20, 90, 8)]
+    rows = []
+    for i in range(60):
+        parts = [words(rng, int(rng.integers(0, 40)), 10**6) if rng.random() < 0.5 else passages[int(rng.integers(0, 8))] for _ in range(int(rng.integers(0, 6)))]
+        rows.append((int(rng.integers(0, 40)) if i % 7 else 100 + i, " ".join(parts) + "\n" * (i % 3)))
+    rows += [(500, None), (501, ""), (502, words(rng, 6000, 10**6)), (503, passages[0] + " " + passages[0]), (503, passages[0] + " " + passages[0])]
+    df = docs(spark, rows).repartition(5)
+    version = {(r["doc_id"], r["text"]): r["v"] for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("v")).collect()}
+    chunks = {key: brute_chunks(key[1] or "") for key in version}
+    first = {}
+    for (i, t), c in chunks.items():
+        for p, (w, _) in enumerate(c):
+            place = (i, version[i, t], p)
+            first[w] = min(first.get(w, place), place)
+    want = {}
+    for (i, t), c in chunks.items():
+        raw, again = (t or "").encode(), [first[w] != (i, version[i, t], p) for p, (w, _) in enumerate(c)]
+        parts, last, p, dropped = [], 0, 0, 0
+        while p < len(c):
+            q = p
+            while q < len(c) and again[q]:
+                q += 1
+            if sum(len(w) for w, _ in c[p:q]) >= 12:
+                parts.append(raw[last : c[p][1]])
+                last, dropped = (c[q][1] if q < len(c) else len(raw)), dropped + q - p
+            p = q + 1
+        want[i, t] = (None if t is None else (b"".join(parts) + raw[last:]).decode(), len(c), dropped)
+    got = sorted(((r["doc_id"], r["text"], r["n_chunks"], r["n_dropped"]) for r in dedup_substrings(df).collect()), key=repr)
+    assert got == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
+    assert sum(x[2] for x in want.values()) > 50
+
+
 # Packing
 
 
