@@ -98,10 +98,15 @@ def signal_retained(cube: Cube, background: DataFrame, mask: DataFrame | None =
 # Regions and masks ---------------------------------------------------------------------------
 
 
+def _with_top(z: DataFrame) -> DataFrame:
+    """z with each scan's largest zsum as top: an aggregate that joins back, so that no scan's pixels meet in one task."""
+    return z.join(z.groupBy("scan_id").agg(F.max("zsum").alias("top")), "scan_id")
+
+
 def auto_roi(cube: Cube, threshold_rel: float = 0.05, pad: int = 20) -> DataFrame:
     """(scan_id, r1, r2, c1, c2): the padded box of pixels whose sum exceeds threshold_rel of the
     largest; the whole detector where there are none."""
-    z = zsum(cube).select("*", F.max("zsum").over(Window.partitionBy("scan_id")).alias("top"))
+    z = _with_top(zsum(cube))
     lit = F.col("zsum") > threshold_rel * F.col("top")
     ny, nx = cube.shape
     return z.groupBy("scan_id").agg(
@@ -182,7 +187,7 @@ def grain_mask(cube: Cube, threshold_rel: float = 0.05, method: str = "fraction"
     """(scan_id, y, x) of the grain: sums above a fraction of the largest, or above Otsu's threshold."""
     z = zsum(cube)
     if method == "fraction":
-        lit = z.select("*", F.max("zsum").over(Window.partitionBy("scan_id")).alias("top")).where(F.col("zsum") > threshold_rel * F.col("top"))
+        lit = _with_top(z).where(F.col("zsum") > threshold_rel * F.col("top"))
     elif method == "otsu":
         lit = z.join(otsu(z, "zsum"), "scan_id").where("zsum > threshold")
     else:

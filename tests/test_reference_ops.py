@@ -336,3 +336,17 @@ def test_queries_match_sql(spark):
         assert cols == sorted(theirs.columns), name
         rows = [sorted(map(str, d[cols].itertuples(index=False, name=None))) for d in (mine, theirs)]
         assert rows[0] == rows[1], name
+
+
+def test_local_maxima_take_zeros_beyond_the_ends(spark):
+    """The query's operator and the fits' seeds find the same two maxima."""
+    import numpy as np
+
+    from cubewright.functions.solver import two_maxima_1d
+    from cubewright.operators.grid import local_maxima
+
+    for profile in ([9, 5, 6, 1, 0, 0, 0, 0, 1, 7, 6, 8], [0, 0, 3, 9, 3, 0, 0, 0, 0, 5, 8, 5, 0, 0]):
+        rows = [("a", 0, 0, k, v) for k, v in enumerate(profile)]
+        got = [r["at"] for r in local_maxima(spark.createDataFrame(rows, "scan_id string, y int, x int, i0 int, v long"), "v").orderBy("k").collect()]
+        first, second, two, _ = two_maxima_1d(np.array([profile], float))
+        assert got == [int(first[0]), int(second[0])] and two[0]
