@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -11,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cubewright.llm.common import map_arrow, sized_batches, staged
@@ -19,10 +19,14 @@ from cubewright.llm.common import map_arrow, sized_batches, staged
 #: Parts of words of up to so many characters are remembered, in about so many bytes of a Python
 #: worker as long as it lives. What one takes beside its characters and ids is PART_BYTES.
 CACHE_CHARS, CACHE_BYTES, PART_BYTES = 48, 40 << 20, 190
-#: In words without these the tokenizer changes nothing but case, and codes the parts that its
-#: splitting pattern gives by themselves.
-_ODD_PART = re.compile(r"[^\n!-~\xa1-\xff]|<\|")
-_NO_ID = 2**32 - 1
+#: In texts of these Latin-1 characters alone, without "<|", the tokenizer changes nothing but case,
+#: and codes the parts that its splitting pattern gives by themselves.
+_PLAIN = bytes([*b"\t\n\x0b\x0c\r ", *range(0x21, 0x7F), 0x85, *range(0xA0, 0x100)])
+#: The splitting pattern that _part_starts knows.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
+_NUMBER, _KIND = 2, np.array([0 if chr(c).isspace() else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(256)], np.uint8)
+_PLAIN_SPACE = re.compile(rb"[\t-\r \x85\xa0]")
 #: Python's split() takes these for white space, the tokenizers don't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Texts are coded together up to so many bytes, which bounds the scratch memory.
@@ -31,6 +35,24 @@ BATCH_BYTES = 8 << 20
 GROUP_ROWS = 100_000
 
 
+def _part_starts(data: np.ndarray) -> np.ndarray:
+    """Where the parts that _SPLIT gives, and the white space between them, start in lower-cased
+    Latin-1 text that ends in white space."""
+    kind = _KIND[data]
+    cut = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+    cut |= kind == _NUMBER
+    # An apostrophe after another sign belongs to the signs.
+    at = np.flatnonzero(data == ord("'"))
+    at = at[cut[at]]
+    x, y = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    pair = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+    for some, size in ((at[np.isin(x, list(b"stmd"))], 2), (at[pair], 3)):
+        cut[some + 1] = False
+        cut[some + size] = True
+    return np.flatnonzero(cut)
+
+
 class WordTokenizer:
     """A tokenizer that drops white space, so that each word between spaces is coded by itself."""
 
@@ -38,8 +60,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = self._pattern(path)
-        self.parts: dict[str, bytes] = {"\n": _NO_ID.to_bytes(4, "little")}
+        self.find = _part_starts if self._splits_as_known(path) else None
+        self.parts: dict[bytes, bytes] = {}
         self.held = 0
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark, self.mark_id = special[0] if special else (None, -1)
@@ -48,8 +70,8 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def _pattern(path: str):
-        """How lower-cased words are split, if the file says so in the way known here; else None."""
+    def _splits_as_known(path: str) -> bool:
+        """Whether the file says that lower-cased words are split in the way known here."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
@@ -57,33 +79,63 @@ class WordTokenizer:
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         known = kinds == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and spec["model"].get("continuing_subword_prefix") is None
         known = known and [s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["use_regex"]
-        return regex.compile(split[0]["pattern"]["Regex"] + r"|\n").findall if known else None
-
-    def _code_new(self, words: set[str]) -> dict[str, bytes]:
-        """Words by their parts where that is known to be the same, and else as they are."""
-        if self.find is None:
-            return dict(zip(words, self._code_words(list(words)), strict=True))
-        plain = list(words)
-        if _ODD_PART.search("\n".join(plain)):
-            plain = [w for w in plain if not _ODD_PART.search(w)]
-        odd = words.difference(plain) if len(plain) < len(words) else ()
-        # All words at once: a line end stands after each, and in its place an id that there isn't.
-        parts = self.parts
-        flat = self.find("\n".join([*plain, ""]).lower())
-        fresh = list(set(flat).difference(parts))
+        return known and split[0]["pattern"] == {"Regex": _SPLIT}
+
+    def _code_parts(self, parts: list[bytes]) -> list[bytes]:
+        out = list(map(self.parts.get, parts))
+        fresh = [i for i, code in enumerate(out) if code is None]
         for lo in range(0, len(fresh), 20_000):
             some = fresh[lo : lo + 20_000]
-            parts.update(zip(some, self._code_words(some), strict=True))
-        whole = b"".join(map(parts.__getitem__, flat))
-        ends = np.flatnonzero(np.frombuffer(whole, "<u4") == _NO_ID) * 4
-        out = {w: whole[x:y] for w, x, y in zip(plain, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)} if plain else {}
-        out.update(zip(odd, self._code_words(list(odd)), strict=True))
-        for p in fresh:
-            size = PART_BYTES + len(p) + len(parts[p])
-            if len(p) > CACHE_CHARS or self.held + size > CACHE_BYTES:
-                del parts[p]
+            for i, code in zip(some, self._code_words([parts[i].decode("latin-1") for i in some]), strict=True):
+                out[i] = code
+                size = PART_BYTES + len(parts[i]) + len(code)
+                if len(parts[i]) <= CACHE_CHARS and self.held + size <= CACHE_BYTES:
+                    self.parts[parts[i]] = code
+                    self.held += size
+        return out
+
+    def _code_latin(self, texts: list[bytes]) -> list[bytes]:
+        """Texts of _PLAIN characters, each with a line end after it, by the distinct parts of them all."""
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        starts = self.find(data)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._code_parts(parts.dictionary.to_pylist()), pa.binary()).take(parts.indices)
+        ends, whole = np.frombuffer(ids.buffers()[1], np.int32), ids.buffers()[2].to_pybytes()
+        limits = ends[np.searchsorted(starts, np.cumsum([0, *map(len, texts)]))].tolist()
+        return [whole[x:y] for x, y in zip(limits[:-1], limits[1:], strict=True)]
+
+    def _code_long(self, text: bytes) -> bytes:
+        """One text in slices of about BATCH_BYTES, cut after white space."""
+        out, lo = [], 0
+        while lo < len(text):
+            space = _PLAIN_SPACE.search(text, lo + BATCH_BYTES)
+            hi = space.end() if space else len(text)
+            out += self._code_latin([text[lo:hi]])
+            lo = hi
+        return b"".join(out)
+
+    def _code_plain(self, texts: list[str]) -> list[bytes | None]:
+        """Codes texts of which it is known that their parts can be coded by themselves; None for others."""
+        out: list[bytes | None] = [None] * len(texts)
+        rows, plain = [], []
+        for i, t in enumerate(texts if self.find is not None else ()):
+            if "<|" in t:
+                continue
+            try:
+                raw = t.encode("latin-1")
+            except UnicodeEncodeError:
+                continue
+            if raw.translate(None, _PLAIN):
+                continue
+            if len(raw) > BATCH_BYTES:
+                out[i] = self._code_long(raw + b"\n")
             else:
-                self.held += size
+                rows.append(i)
+                plain.append(raw + b"\n")
+        if plain:
+            for i, code in zip(rows, self._code_latin(plain), strict=True):
+                out[i] = code
         return out
 
     def _code_words(self, words: list[str]) -> list[bytes]:
@@ -104,14 +156,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        odd = [_ODD_SPACE.search(t) is not None for t in texts]
-        words: set[str] = set()
-        for t, o in zip(texts, odd, strict=True):
-            if not o:
-                words.update(t.split())
-        known = self._code_new(words)
-        for t, o in zip(texts, odd, strict=True):
-            yield self._code([t])[0] if o else b"".join(map(known.__getitem__, t.split()))
+        codes = self._code_plain(texts)
+        odd = [c is None and _ODD_SPACE.search(t) is not None for t, c in zip(texts, codes, strict=True)]
+        words = list({w for t, c, o in zip(texts, codes, odd, strict=True) if c is None and not o for w in t.split()})
+        known = dict(zip(words, self._code_plain(words), strict=True))
+        rest = [w for w in words if known[w] is None]
+        known.update(zip(rest, self._code_words(rest), strict=True))
+        for t, c, o in zip(texts, codes, odd, strict=True):
+            if c is None:
+                c = self._code([t])[0] if o else b"".join(map(known.__getitem__, t.split()))
+            yield c
 
 
 @lru_cache(maxsize=2)

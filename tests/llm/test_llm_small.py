@@ -339,6 +339,50 @@ def test_words_are_coded_as_the_tokenizer_does():
     assert own.find is not None
 
 
+def test_whole_texts_are_coded_as_the_tokenizer_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import cubewright.llm.packing as m
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), m.WordTokenizer(path)
+    rng = np.random.default_rng(32)
+    bits = [*"''''", *"stmdrevlaSTMDLE12!. \t\n\r\x0b\x0c", *"\x85\xa0\xad\xb5\xdf\xd7\xc9\xbd\xaa", "don't", "we'll", "You'RE"]
+    texts = ["".join(bits[int(k)] for k in rng.integers(0, len(bits), rng.integers(0, 200))) for _ in range(2000)]
+    texts += ["", " ", "'", "a'", "a'r", "it's", "don't’s “it's”", "\u212a\u1e9e\u0178", "\x00a's", "a <|endoftext|>'s"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode(texts)] == want
+    monkeypatch.setattr(m, "BATCH_BYTES", 40)
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode(texts)] == want
+
+
+def test_known_parts_are_coded_in_less_time_than_their_pattern_takes():
+    import time
+
+    import regex
+
+    from cubewright.llm.packing import WordTokenizer
+
+    rng = np.random.default_rng(33)
+    bits, ends = ["en", "the", "er", "qu", "ing", "sch", "é", "an", "lich", "ou", "ver", "ent", "st", "au"], ["", ",", ".", "!!", "$$$", "?"]
+    parts = ["".join(bits[int(k)] for k in rng.integers(0, len(bits), rng.integers(2, 6))) for _ in range(20000)]
+    forms = [f(p) + e for p in parts for e in ends for f in (str.lower, str.capitalize)]
+    texts = [" ".join(forms[int(k)] for k in rng.integers(0, len(forms), 400)) for _ in range(700)]
+    own, pattern = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+    def least(run) -> float:
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    list(own.encode(texts))
+    coding, splitting = least(lambda: list(own.encode(texts))), least(lambda: [pattern.findall(t.lower()) for t in texts])
+    assert coding < 0.8 * splitting
+
+
 # BPE
 
 
